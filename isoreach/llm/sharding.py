@@ -79,12 +79,7 @@ def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
     while m > LAST_HEAP:
         buckets = max(1, -(-m // BUCKET_GROUPS))
 
-        def packed(pdf, ways=shards, depth=level):
-            pdf = pdf.sort_values(["bytes", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
-            at = karmarkar_karp(pdf["bytes"].to_numpy(), ways)
-            return pdf.assign(pack=[f"{depth}/{b}/{p}" for b, p in zip(pdf["bucket"], at)])[["key", "bytes", "pack"]]
-
-        link = through_table(left.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInPandas(packed, "key string, bytes long, pack string"), "packs")
+        link = through_table(left.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInPandas(_packing(shards, level), "key string, bytes long, pack string"), "packs")
         links.append(link)
         left = through_table(link.groupBy(F.col("pack").alias("key")).agg(F.sum("bytes").alias("bytes")), "pack-sums")
         m, level = left.count(), level + 1
@@ -98,6 +93,17 @@ def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
     return out.unionByName(down)
 
 
+def _packing(ways: int, level: int):
+    """A bucket of groups to the packs that differencing deals them to."""
+
+    def packed(pdf):
+        pdf = pdf.sort_values(["bytes", "key"], ascending=[False, True]).reset_index(drop=True)
+        at = karmarkar_karp(pdf["bytes"].to_numpy(), ways)
+        return pdf.assign(pack=[f"{level}/{b}/{p}" for b, p in zip(pdf["bucket"], at)])[["key", "bytes", "pack"]]
+
+    return packed
+
+
 def balanced_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8) -> DataFrame:
     """Every row of ``docs`` with its size, shard and slot: doc_id, size, text_crc32, shard, slot.
 
