@@ -32,6 +32,8 @@ PAIRS_A_ROUND = 2048
 LEAST_USES = 8
 _HEAD = struct.Struct("<4sIIIQ")
 _TABLE = 1 << 20
+#: Blocks whose starts are broadcast; of more the payloads are shuffled to them.
+SMALL_BLOCKS = 500_000
 
 
 def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, pairs: int = PAIRS_A_ROUND, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray]:
@@ -182,11 +184,14 @@ def read_ids(spark: SparkSession, path: str, only: DataFrame | None = None) -> D
     """
     table = spark.read.parquet(path)
     kind = table.schema["first_doc"].dataType.simpleString()
-    rows = table.join(block_starts(spark, path), "block").select("doc_ids", "lengths", "payload", "base")
+    starts = block_starts(spark, path)
+    if table.count() <= SMALL_BLOCKS:  # two longs a block
+        starts = F.broadcast(starts)
+    rows = table.join(starts, "block").select("doc_ids", "lengths", "payload", "base")
     if only is not None:
         wanted = only.select(F.col("doc_id").alias("_w")).distinct()
         hits = table.select("block", F.explode("doc_ids").alias("_w")).join(wanted, "_w").groupBy("block").agg(F.collect_set("_w").alias("wanted"))
-        rows = table.join(hits, "block").join(block_starts(spark, path), "block").select("doc_ids", "lengths", "payload", "base", "wanted")
+        rows = table.join(hits, "block").join(starts, "block").select("doc_ids", "lengths", "payload", "base", "wanted")
 
     def read(batches):
         for batch in batches:
