@@ -49,6 +49,17 @@ def piece_starts(buf: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def piece_hashes(buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each piece, never 0."""
+    pos = np.arange(len(buf), dtype=np.int32) - np.repeat(starts.astype(np.int32), size)
+    with np.errstate(over="ignore"):
+        if len(size) and size.max() > _POS:
+            pos %= _POS
+        h = mix(np.add.reduceat((buf + np.uint64(1)) * _POWERS[pos], starts))
+    h[h == 0] = 1
+    return h
+
+
 class Codec:
     """One tokenizer file."""
 
@@ -80,6 +91,7 @@ class Codec:
         #: The same merges for words that need no splitting: letters of ASCII, with or without the space before.
         self.words = Tokenizer(self.library.model)
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.table = None
         self._empty()
 
     def _empty(self) -> None:
@@ -92,6 +104,13 @@ class Codec:
         self.flat = np.zeros(1 << 14, self.dtype)
         self.entries = self.filled = 0
 
+    def piece_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each id, where its bytes begin, how many they are; and the bytes end to end."""
+        if self.table is None:
+            n = np.fromiter(map(len, self.pieces), np.int64, self.size)
+            self.table = np.cumsum(n) - n, n, np.frombuffer(b"".join(self.pieces), np.uint8)
+        return self.table
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -169,12 +188,7 @@ class Codec:
         begin = np.cumsum(sizes) - sizes
         starts = piece_starts(buf, begin[sizes > 0])
         size = np.diff(starts, append=len(buf))
-        pos = np.arange(len(buf), dtype=np.int32) - np.repeat(starts.astype(np.int32), size)
-        with np.errstate(over="ignore"):
-            if len(size) and size.max() > _POS:
-                pos %= _POS
-            h = mix(np.add.reduceat((buf + np.uint64(1)) * _POWERS[pos], starts))
-        h[h == 0] = 1
+        h = piece_hashes(buf, starts, size)
         if self.entries > TABLE_PIECES:
             self._empty()
         e = self._find(h, size)

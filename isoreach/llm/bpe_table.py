@@ -8,7 +8,8 @@
 3. A chunk meets its lists again, and the ids and the decoded bytes are put where their pieces stood.
 
 What is shuffled is the texts once, compressed, and each distinct piece of a chunk once each way, not
-every word. The number of buckets follows the number of chunks, so a bucket's table stays the same
+every word. Pieces are told apart by 64-bit hashes, and the decoded bytes are compared with the text's,
+so a clash of hashes would stop the job rather than change a result. The number of buckets follows the number of chunks, so a bucket's table stays the same
 size on any input; a frequent word is one entry in each chunk. A text over the chunk size is a chunk
 of its own.
 """
@@ -22,33 +23,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.bpe import Codec, piece_starts, ragged
+from isoreach.llm.bpe import Codec, piece_hashes, piece_starts, ragged
 
 CHUNK_BYTES = 12 << 20
 
 
-def _pieces(codec: Codec, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """(pieces of all texts in order, their number by text). A text with an added token's string is one piece."""
-    held = [any(a in t for a in codec.added) for t in texts]
-    raw = b"".join(texts)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    begin = np.cumsum(sizes) - sizes
-    if not raw:
-        return [], np.zeros(len(texts), np.int64)
-    starts = piece_starts(np.frombuffer(raw, np.uint8), begin[sizes > 0])
-    for i, odd in enumerate(held):
-        if odd:
-            starts = starts[(starts <= begin[i]) | (starts >= begin[i] + sizes[i])]
-    bound = np.searchsorted(starts, np.append(begin, len(raw)))
-    edges = starts.tolist() + [len(raw)]
-    return [raw[a:b] for a, b in zip(edges, edges[1:])], np.diff(bound)
-
-
-def _listed(pieces, buckets: int) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {}
-    for p in pieces:
-        out.setdefault(zlib.crc32(p) % buckets, []).append(p)
-    return {b: sorted(v) for b, v in out.items()}
+class _Pieces:
+    """The pieces of some texts: their places, which distinct piece each is, and the distinct ones by (bucket, hash)."""
+
+    def __init__(self, codec: Codec, texts: list[bytes], buckets: int):
+        self.raw = raw = b"".join(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.cumsum(sizes) - sizes
+        buf = np.frombuffer(raw, np.uint8)
+        starts = piece_starts(buf, begin[sizes > 0]) if raw else np.zeros(0, np.int64)
+        for i, t in enumerate(texts):
+            if any(a in t for a in codec.added):  # the library gets the whole text
+                starts = starts[(starts <= begin[i]) | (starts >= begin[i] + sizes[i])]
+        self.size = np.diff(starts, append=len(buf))
+        self.of_text = np.diff(np.searchsorted(starts, np.append(begin, len(raw))))
+        h = piece_hashes(buf, starts, self.size) if raw else np.zeros(0, np.uint64)
+        h, first, self.which = np.unique(h, return_index=True, return_inverse=True)
+        self.bucket = (h % np.uint64(buckets)).astype(np.int64)
+        self.order = np.argsort(self.bucket, kind="stable")
+        self.at, self.n = starts[first], self.size[first]
+
+    def words(self, some: np.ndarray) -> list[bytes]:
+        raw = self.raw
+        return [raw[a : a + n] for a, n in zip(self.at[some].tolist(), self.n[some].tolist())]
+
+    def lists(self):
+        """(bucket, distinct pieces of it) by bucket."""
+        own = self.bucket[self.order]
+        for part in np.split(self.order, np.flatnonzero(np.diff(own)) + 1) if len(own) else []:
+            yield int(self.bucket[part[0]]), part
 
 
 def _packed(words: list[bytes]) -> bytes:
@@ -64,6 +72,10 @@ def _unpacked(blob: bytes) -> list[bytes]:
     return [raw[at + a : at + b] for a, b in zip([0, *ends], ends)]
 
 
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [(t or "").encode() for t in batch.column(1).to_pylist()]
+
+
 def _read_chunk(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob).read_next_batch()
 
@@ -93,11 +105,13 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def listed(key, table):
         codec = Codec.of(tokenizer)
-        words: set[bytes] = set()
-        for blob in table.column("docs"):
-            words.update(_pieces(codec, [(t or "").encode() for t in _read_chunk(blob.as_py()).column(1).to_pylist()])[0])
-        by = _listed(words, buckets)
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(by), pa.int64()), "bucket": pa.array(list(by), pa.int64()), "words": pa.array([_packed(v) for v in by.values()], pa.binary())})
+        texts = [t for blob in table.column("docs") for t in _texts(_read_chunk(blob.as_py()))]
+        p = _Pieces(codec, texts, buckets)
+        names, blobs = [], []
+        for bucket, part in p.lists():
+            names.append(bucket)
+            blobs.append(_packed(p.words(part)))
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(names), pa.int64()), "bucket": pa.array(names, pa.int64()), "words": pa.array(blobs, pa.binary())})
 
     def encoded(key, table):
         codec = Codec.of(tokenizer)
@@ -123,36 +137,33 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def joined(left, right):
         codec = Codec.of(tokenizer)
-        pieces = codec.pieces
         width = codec.dtype.itemsize
         back = dict(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist()))
         batches = [_read_chunk(b.as_py()) for b in left.column("docs")]
-        split = [_pieces(codec, [(t or "").encode() for t in b.column(1).to_pylist()]) for b in batches]
-        place: dict[bytes, int] = {}
-        counts, flat = [], []
-        for b, own in _listed(set().union(*(s[0] for s in split)), buckets).items():
-            raw = zlib.decompress(back[b])
-            place.update(zip(own, range(len(place), len(place) + len(own))))
-            counts.append(np.frombuffer(raw, "<u4", len(own)))
-            flat.append(np.frombuffer(raw, codec.dtype, (len(raw) - 4 * len(own)) // width, 4 * len(own)))
-        count = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
-        flat = np.concatenate(flat) if flat else np.zeros(0, codec.dtype)
-        at = np.cumsum(count) - count
-        shown = [b"".join(map(pieces.__getitem__, x)) for x in np.split(flat, at[1:])] if len(count) else []  # each distinct word decoded once, from its ids
-        id_parts, n_parts, decoded, doc_ids = [], [], [], []
-        for b, (words, n) in zip(batches, split):
-            e = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            id_parts.append(flat[ragged(at[e], count[e])])
-            edges = np.concatenate([[0], np.cumsum(n)])
-            n_parts.append(np.diff(np.concatenate([[0], np.cumsum(count[e])])[edges]))
-            e = e.tolist()
-            decoded += [b"".join([shown[k] for k in e[x:y]]).decode("utf-8", "replace") for x, y in zip(edges.tolist(), edges[1:].tolist())]
-            doc_ids.append(b.column(0))
-        n = np.concatenate(n_parts) if n_parts else np.zeros(0, np.int64)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-        values = pa.array(np.concatenate(id_parts).astype(np.int32) if id_parts else np.zeros(0, np.int32))
-        id_type = left_type if not doc_ids else doc_ids[0].type
-        return pa.table({"doc_id": pa.chunked_array(doc_ids, type=id_type), "ids": pa.ListArray.from_arrays(offsets, values), "decoded": pa.array(decoded, pa.string())})
+        p = _Pieces(codec, [t for b in batches for t in _texts(b)], buckets)
+        count, at = np.zeros(len(p.n), np.int64), np.zeros(len(p.n), np.int64)
+        flat, filled = [np.zeros(0, codec.dtype)], 0
+        for bucket, part in p.lists():
+            raw = zlib.decompress(back[bucket])
+            count[part] = own = np.frombuffer(raw, "<u4", len(part))
+            at[part] = filled + np.cumsum(own, dtype=np.int64) - own
+            flat.append(np.frombuffer(raw, codec.dtype, (len(raw) - 4 * len(part)) // width, 4 * len(part)))
+            filled += len(flat[-1])
+        flat = np.concatenate(flat)
+        # the distinct pieces decoded, each once, from their ids
+        piece_at, piece_len, piece_flat = codec.piece_table()
+        shown = piece_flat[ragged(piece_at[flat], piece_len[flat])]
+        before = np.concatenate([[0], np.cumsum(piece_len[flat])])
+        shown_at, shown_n = before[at], before[at + count] - before[at]
+        ids = flat[ragged(at[p.which], count[p.which])]
+        decoded = shown[ragged(shown_at[p.which], shown_n[p.which])]
+        edges = np.concatenate([[0], np.cumsum(p.of_text)])
+        by_text = lambda n: np.concatenate([[0], np.cumsum(n[p.which])])[edges].astype(np.int32)
+        if not np.array_equal(decoded, np.frombuffer(p.raw, np.uint8)):
+            raise ValueError("decoded bytes differ from the text: two pieces of one hash")
+        text = pa.Array.from_buffers(pa.string(), len(p.of_text), [None, pa.py_buffer(by_text(shown_n)), pa.py_buffer(decoded)])
+        doc_ids = pa.chunked_array([b.column(0) for b in batches], type=batches[0].column(0).type if batches else left_type)
+        return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(by_text(count)), pa.array(ids.astype(np.int32))), "decoded": text})
 
     left_type = pa.int64() if kind == "bigint" else pa.string()
     parts = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).mapInArrow(packed, "chunk long, docs binary").repartition("chunk")
