@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoreach.functions.shared import through_table
 from isoreach.llm.blocks import blocks
 from isoreach.llm.bpe import Codec
 
@@ -34,7 +35,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     ``quantile`` is the share of documents no longer than it. Lengths are summed within ranges of
     RANGE lengths and over the ranges, so no window sees all lengths. An empty table gives no rows.
     """
-    h = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("r", F.expr(f"n_tokens div {RANGE}"))
+    h = through_table(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "length-histogram")
+    h = h.withColumn("r", F.expr(f"n_tokens div {RANGE}"))
     h = h.withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
     by_range = h.groupBy("r").agg(F.sum("n_docs").alias("rd"), F.sum("tokens").alias("rt"))
     upto = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
