@@ -167,3 +167,23 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         own = rows.mapInArrow(searched, schema)
         out = own if out is None else out.unionByName(own)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
+    """The rows whose text holds no item within its budget; null and empty texts stay, all columns as they are. Nothing is shuffled."""
+    out = docs
+    at_text = docs.columns.index(text_col)
+    for held in item_blocks(items):
+        sent = docs.sparkSession.sparkContext.broadcast((held, rate))  # BLOCK_BYTES at most, and one item
+        out = out.mapInArrow(_cleaning(sent, text_col, at_text), docs.schema)
+    return out
+
+
+def _cleaning(sent, text_col: str, at_text: int):
+    def clean(batches):
+        finder = Finder(*sent.value)
+        for batch in batches:
+            for part in blocks(batch, text_col):
+                yield part.filter(pa.array([not finder.find(normal(t)) for t in part.column(at_text).to_pylist()], pa.bool_()))
+
+    return clean

@@ -23,6 +23,8 @@ SWITCH = 12.0
 #: Labelled rows of one language that a model is fitted on, about.
 FIT_ROWS = 4000
 NOT = -1e4
+#: The share of a text's letters that a known language has at least, for a text to be kept.
+LEAST_SCORE = 0.5
 GROUP_SCORES = 12 << 20
 BLOCK = 1 << 20
 
@@ -215,7 +217,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def labelled(batches):
         m = held.value
         for batch in batches:
-            at = 0
             group: list = []
             size = 0
             for part in blocks(batch, limit=BLOCK):
@@ -225,14 +226,46 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 if size >= GROUP_SCORES:
                     yield _spans(m, group, penalty)
                     group, size = [], 0
-                at += part.num_rows
             if group:
                 yield _spans(m, group, penalty)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(labelled, f"doc_id {kind}, lang string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE, penalty: float = SWITCH) -> DataFrame:
+    """The rows whose language is known and has at least ``least`` of the letters, with ``lang_col`` set to it.
+
+    Rows without a letter (null and empty texts too) go. The other columns stay as they are, whatever
+    their names; a missing ``lang_col`` is added. Nothing is shuffled.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)  # BINS numbers a language
+    names = docs.columns if lang_col in docs.columns else [*docs.columns, lang_col]
+    plain = docs if lang_col in docs.columns else docs.withColumn(lang_col, F.lit(None).cast("string"))
+    plain = plain.withColumn(lang_col, F.col(lang_col).cast("string"))
+    at_text, at_lang = names.index(text_col), names.index(lang_col)
+
+    def kept(batches):
+        m = held.value
+        for batch in batches:
+            group, size = [], 0
+            parts = list(blocks(batch, text_col, BLOCK))
+            for i, part in enumerate(parts):
+                words = Words(part.column(at_text).to_pylist())
+                group.append((part, words, m.scores(words)))
+                size += group[-1][2].size
+                if size >= GROUP_SCORES or i == len(parts) - 1:
+                    found = _spans(m, group, penalty)
+                    rows = pa.Table.from_batches([g[0] for g in group])
+                    rows = rows.set_column(at_lang, lang_col, found.column(1))
+                    known = np.array([x != "und" for x in found.column(1).to_pylist()]) & (found.column(2).to_numpy() >= least)
+                    yield from rows.filter(pa.array(known)).to_batches()
+                    group, size = [], 0
+
+    return plain.mapInArrow(kept, plain.schema)
+
+
 def _spans(m: Model, group: list, penalty: float) -> pa.RecordBatch:
+    """The result rows of some blocks that are scored; the first column of a block is handed on as doc_id."""
     ids = pa.concat_arrays([part.column(0) for part, *_ in group])
     n_texts = len(ids)
     base = np.cumsum([0] + [w.n_texts for _, w, _ in group])

@@ -113,8 +113,8 @@ def _patterns(text: Column, start: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(words))), lambda n: F.array_join(F.slice(words, F.size(words) - n + 1, n), " "))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
-    """row (the input's columns in a struct), doc_id, base and spans (arrays of start, end, kind, value by start and kind) for every row.
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, accept: float = ACCEPT, keep: bool = True) -> DataFrame:
+    """row (the input's columns in a struct; without ``keep`` the id alone), doc_id, base and spans (arrays of start, end, kind, value by start and kind) for every row.
 
     ``base`` are the spans of the four forms, ``spans`` these and the discovered identifiers. Null texts
     are empty and have no span; repeated rows are found alike; a null id stays. Columns of any name may
@@ -124,7 +124,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("base", base_spans(text))
     rows = rows.withColumn("tokens", _tokens(text, F.col("base"))).withColumn("uid", F.monotonically_increasing_id())
     with_patterns = F.transform(F.concat("base", "tokens"), lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"), _patterns(text, s["start"]).alias("patterns")))
-    rows = through_table(rows.withColumn("uses", F.when(F.size("base") + F.size("tokens") > 0, with_patterns)), "pii-rows")
+    rows = rows.withColumn("uses", F.when(F.size("base") + F.size("tokens") > 0, with_patterns))
+    if not keep:
+        rows = rows.withColumn("row", F.struct(F.col("row")[id_col].alias(id_col)))
+    rows = through_table(rows, "pii-rows")
     uses = rows.select(F.explode("uses").alias("u")).select(F.col("u.value").alias("value"), (F.col("u.kind") < len(KINDS)).cast("int").alias("seed"), F.explode("u.patterns").alias("pattern"))
     edges = through_table(uses.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
     scores = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
@@ -136,8 +139,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     unseen = scores.join(edges.groupBy("value").agg(F.max("seed").alias("seed")).where("seed = 0").select("value"), "value").where(F.col("score") >= accept).select("value")
     hits = rows.select("uid", F.explode("tokens").alias("t")).join(unseen.withColumnRenamed("value", "_v"), F.lower(F.col("t.value")) == F.col("_v"), "left_semi")
     extra = hits.groupBy("uid").agg(F.collect_list("t").alias("extra"))  # of one row
-    out = rows.drop("tokens", "uses").join(extra, "uid", "left")
-    return out.select("row", F.col("row")[id_col].alias("doc_id"), "base", F.array_sort(F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.concat("base", "extra"))).alias("spans"))
+    rows = rows.select("uid", "row", F.col("row")[id_col].alias("doc_id"), "base", F.size("tokens").alias("n_tokens"))
+    plain = rows.where("n_tokens = 0").select("row", "doc_id", "base", F.col("base").alias("spans"))  # the most; they meet no join
+    joined = rows.where("n_tokens > 0").join(extra, "uid", "left")
+    return plain.unionByName(joined.select("row", "doc_id", "base", F.array_sort(F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.concat("base", "extra"))).alias("spans")))
 
 
 def as_text(spans: Column) -> Column:

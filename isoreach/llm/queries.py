@@ -48,7 +48,7 @@ def op4_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bootstrapped_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.find(table(spark, sf_dir, "documents"))
+    out = pii.find(table(spark, sf_dir, "documents"), keep=False)
     counts = (pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS)
     return out.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
 
