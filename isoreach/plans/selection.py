@@ -12,25 +12,25 @@ from isoreach.plans.registry import query
 
 # The demonstration's types: clauses by type, in order.
 TYPES = {
-    "metal": [{"kind": ["STEEL", "BRASS"], "size": True}, {"kind": ["COPPER"]}],
-    "plated": [{"kind": ["PLATED"]}, {"kind": ["STEEL"], "brand": ["brand_11", "brand_12", "brand_13"]}],
+    "metal": [{"kind": ["GEAR", "WIDGET"], "size": True}, {"kind": ["BOLT"]}],
+    "plate": [{"kind": ["PLATE"]}, {"kind": ["GEAR"], "brand": ["brand_11", "brand_12", "brand_13"]}],
     "branded": [{"brand": ["brand_11", "brand_21", "brand_31"]}],
 }
-_HAS = "list_has_any(string_split(kind, ';'), {})"
+_HAS = "list_has_any(string_split(kind, '; '), {})"
 _C = {
-    "m1": f"({_HAS.format(['STEEL', 'BRASS'])} AND size IS NOT NULL)", "m2": f"{_HAS.format(['COPPER'])}",
-    "p1": f"{_HAS.format(['PLATED'])}", "p2": f"({_HAS.format(['STEEL'])} AND brand IN ('brand_11', 'brand_12', 'brand_13'))", "b1": "brand IN ('brand_11', 'brand_21', 'brand_31')",
+    "m1": f"({_HAS.format(['GEAR', 'WIDGET'])} AND size IS NOT NULL)", "m2": f"{_HAS.format(['BOLT'])}",
+    "p1": f"{_HAS.format(['PLATE'])}", "p2": f"({_HAS.format(['GEAR'])} AND brand IN ('brand_11', 'brand_12', 'brand_13'))", "b1": "brand IN ('brand_11', 'brand_21', 'brand_31')",
 }
 CANDS_SQL = f"""SELECT place_id, 'metal' AS poi_type, 0 AS idx, CASE WHEN {_C['m1']} THEN 2 ELSE 1 END AS specificity FROM places WHERE {_C['m1']} OR {_C['m2']}
-UNION ALL SELECT place_id, 'plated', 1, CASE WHEN {_C['p2']} THEN 2 ELSE 1 END FROM places WHERE {_C['p1']} OR {_C['p2']}
+UNION ALL SELECT place_id, 'plate', 1, CASE WHEN {_C['p2']} THEN 2 ELSE 1 END FROM places WHERE {_C['p1']} OR {_C['p2']}
 UNION ALL SELECT place_id, 'branded', 2, 1 FROM places WHERE {_C['b1']}"""
 OWN_SQL = f"""SELECT place_id, first(poi_type ORDER BY specificity DESC, idx) AS owner, count(*) > 1 AS is_conflict,
 count(*) > 1 AND list_reverse_sort(list(specificity))[2] = max(specificity) AS by_order FROM ({CANDS_SQL}) GROUP BY place_id"""
 
 
-@query("flt_01_values_match", f"SELECT place_id FROM places WHERE {_HAS.format(['STEEL', 'TIN'])}")
+@query("flt_01_values_match", f"SELECT place_id FROM places WHERE {_HAS.format(['GEAR', 'RING'])}")
 def flt_01(v):
-    return v.places.where(text.multi_match(F.col("tags")["kind"], ["STEEL", "TIN"])).select("place_id")
+    return v.places.where(text.multi_match(F.col("tags")["kind"], ["GEAR", "RING"])).select("place_id")
 
 
 @query("flt_02_clause", f"SELECT place_id FROM places WHERE {_C['m1']}")
@@ -40,7 +40,7 @@ def flt_02(v):
 
 @query("flt_03_any_clause", f"SELECT place_id FROM places WHERE {_C['p1']} OR {_C['p2']}")
 def flt_03(v):
-    return v.places.where(P.any_clause(F.col("tags"), TYPES["plated"])).select("place_id").dropDuplicates(["place_id"])
+    return v.places.where(P.any_clause(F.col("tags"), TYPES["plate"])).select("place_id").dropDuplicates(["place_id"])
 
 
 @query("flt_04_labels", "SELECT place_id, brand FROM places WHERE brand IN ('brand_11', 'brand_21')")
@@ -196,18 +196,18 @@ def agg_40(v):
     return P.combined_request(v.table("part").select(F.col("p_brand").alias("tag"), F.when(~wild, F.col("p_type")).alias("value")))
 
 
-@query("set_02_first_clause", f"SELECT place_id, CASE WHEN {_C['m1']} THEN 'steel' WHEN {_C['m2']} THEN 'copper' WHEN {_C['p1']} THEN 'plated' ELSE '__unmatched__' END AS raw_tag FROM places")
+@query("set_02_first_clause", f"SELECT place_id, CASE WHEN {_C['m1']} THEN 'gear' WHEN {_C['m2']} THEN 'bolt' WHEN {_C['p1']} THEN 'plate' ELSE '__unmatched__' END AS raw_tag FROM places")
 def set_02(v):
-    which = P.first_clause(F.col("tags"), [*TYPES["metal"], TYPES["plated"][0]])
-    return v.places.select("place_id", F.coalesce(F.get(F.array(*map(F.lit, ("steel", "copper", "plated"))), which), F.lit("__unmatched__")).alias("raw_tag"))
+    which = P.first_clause(F.col("tags"), [*TYPES["metal"], TYPES["plate"][0]])
+    return v.places.select("place_id", F.coalesce(F.get(F.array(*map(F.lit, ("gear", "bolt", "plate"))), which), F.lit("__unmatched__")).alias("raw_tag"))
 
 
 @query(
     "fn_16_raw_tag_combos",
-    """SELECT place_id, 'brand=' || brand || '&kind=' || k AS raw_tag FROM (SELECT place_id, brand, unnest(CASE WHEN len(list_filter(string_split(kind, ';'), lambda x: x IN ('STEEL', 'PLATED', 'SMALL'))) = 0 THEN [kind] ELSE list_filter(string_split(kind, ';'), lambda x: x IN ('STEEL', 'PLATED', 'SMALL')) END) AS k FROM places)""",
+    """SELECT place_id, 'brand=' || brand || '&kind=' || k AS raw_tag FROM (SELECT place_id, brand, unnest(CASE WHEN len(list_filter(string_split(kind, '; '), lambda x: x IN ('GEAR', 'PLATE', 'SMALL'))) = 0 THEN [kind] ELSE list_filter(string_split(kind, '; '), lambda x: x IN ('GEAR', 'PLATE', 'SMALL')) END) AS k FROM places)""",
 )
 def fn_16(v):
-    return v.places.select("place_id", F.explode(P.raw_tags(F.col("tags"), {"kind": ["STEEL", "PLATED", "SMALL"], "brand": True})).alias("raw_tag"))
+    return v.places.select("place_id", F.explode(P.raw_tags(F.col("tags"), {"kind": ["GEAR", "PLATE", "SMALL"], "brand": True})).alias("raw_tag"))
 
 
 @query("fn_12_source_key", "SELECT s_suppkey AS poi_id, '{\"id\":' || s_suppkey || ',\"name\":\"' || s_name || '\"}' AS source_key, s_suppkey AS parsed FROM supplier")
@@ -234,9 +234,9 @@ def fn_20(v):
     return v.pois.select("poi_id", u.alias("utility"))
 
 
-@query("fn_26_type_codes", "SELECT p_partkey AS id, CASE WHEN p_type LIKE '%STEEL' THEN 'F1' WHEN p_type LIKE '%BRASS' THEN 'F2' ELSE coalesce(nullif(p_brand, 'Brand#11'), 'F0') END AS code FROM part")
+@query("fn_26_type_codes", "SELECT p_partkey AS id, CASE WHEN p_type = 'PROMO' THEN 'F1' WHEN p_type = 'ECONOMY' THEN 'F2' ELSE coalesce(nullif(p_brand, 'Brand#11'), 'F0') END AS code FROM part")
 def fn_26(v):
-    code = F.when(F.col("p_type").endswith("STEEL"), F.lit("F1")).when(F.col("p_type").endswith("BRASS"), F.lit("F2")).otherwise(F.coalesce(F.nullif("p_brand", F.lit("Brand#11")), F.lit("F0")))
+    code = F.when(F.col("p_type") == "PROMO", F.lit("F1")).when(F.col("p_type") == "ECONOMY", F.lit("F2")).otherwise(F.coalesce(F.nullif("p_brand", F.lit("Brand#11")), F.lit("F0")))
     return v.table("part").select(F.col("p_partkey").alias("id"), code.alias("code"))
 
 

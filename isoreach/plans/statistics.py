@@ -119,10 +119,10 @@ def agg_23(v):
     "agg_24_bootstrap_ci",
     """WITH d AS (SELECT cap, b - a AS x, row_number() OVER (PARTITION BY cap ORDER BY hex_id) - 1 AS i, count(*) OVER (PARTITION BY cap) AS n FROM scores),
     draws AS (SELECT d.cap, rep, x FROM (SELECT DISTINCT cap, n FROM d) g, (SELECT unnest(range(0, 40)) AS rep), LATERAL (SELECT unnest(range(0, n)) AS j) j JOIN d ON d.cap = g.cap AND d.i = (rep * 7919 + j.j * 104729 + rep * j.j * 31) % g.n),
-    m AS (SELECT cap, rep, median(x) AS med FROM draws GROUP BY cap, rep) SELECT cap, round(quantile_cont(med, 0.025), 6) AS lo, round(quantile_cont(med, 0.975), 6) AS hi FROM m GROUP BY cap""",
+    m AS (SELECT cap, rep, median(x) AS med FROM draws GROUP BY cap, rep) SELECT cap, round(quantile_cont(med, 0.025), 4) AS lo, round(quantile_cont(med, 0.975), 4) AS hi FROM m GROUP BY cap""",
 )
 def agg_24(v):
-    return significance.bootstrap_median(v.scores.select("cap", "hex_id", (F.col("b") - F.col("a")).alias("x")), "cap", "hex_id", "x", reps=40).select("cap", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    return significance.bootstrap_median(v.scores.select("cap", "hex_id", (F.col("b") - F.col("a")).alias("x")), "cap", "hex_id", "x", reps=40).select("cap", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
 @query(

@@ -45,7 +45,7 @@ class Views:
         return self.table("part").select(
             F.col("p_partkey").alias("place_id"), spread("p_partkey", 3571, 39.18, 0.08).alias("qlat"), spread("p_partkey", 8123, 9.05, 0.12).alias("qlon"),
             F.create_map(
-                F.lit("kind"), F.regexp_replace("p_type", " ", ";"), F.lit("brand"), F.lower(F.regexp_replace("p_brand", "#", "_")),
+                F.lit("kind"), F.concat_ws("; ", "p_type", F.regexp_replace(F.upper("p_name"), " ", "; ")), F.lit("brand"), F.lower(F.regexp_replace("p_brand", "#", "_")),
                 F.lit("size"), F.when(F.col("p_size") % 3 != 0, F.col("p_size").cast("string")),
             ).alias("tags"),
         )
@@ -98,7 +98,7 @@ class Views:
 SQL_VIEWS = {
     "origins": f"SELECT c_custkey AS node_id, {_sql_spread('c_custkey', 7919, 39.18, 0.08)} AS lat, {_sql_spread('c_custkey', 104729, 9.05, 0.12)} AS lon, c_nationkey AS zone, (c_custkey % 7)::DOUBLE / 100.0::DOUBLE AS gap_o FROM customer",
     "pois": f"SELECT s_suppkey AS poi_id, {_sql_spread('s_suppkey', 6007, 39.18, 0.08)} AS plat, {_sql_spread('s_suppkey', 9973, 9.05, 0.12)} AS plon, 't' || (s_suppkey % 4) AS poi_type, (s_suppkey % 5)::DOUBLE / 100.0::DOUBLE AS gap_p, s_acctbal AS balance, s_nationkey AS pzone FROM supplier",
-    "places": f"SELECT p_partkey AS place_id, {_sql_spread('p_partkey', 3571, 39.18, 0.08)} AS qlat, {_sql_spread('p_partkey', 8123, 9.05, 0.12)} AS qlon, replace(p_type, ' ', ';') AS kind, lower(replace(p_brand, '#', '_')) AS brand, CASE WHEN p_size % 3 <> 0 THEN p_size::VARCHAR END AS size FROM part",
+    "places": f"SELECT p_partkey AS place_id, {_sql_spread('p_partkey', 3571, 39.18, 0.08)} AS qlat, {_sql_spread('p_partkey', 8123, 9.05, 0.12)} AS qlon, p_type || '; ' || replace(upper(p_name), ' ', '; ') AS kind, lower(replace(p_brand, '#', '_')) AS brand, CASE WHEN p_size % 3 <> 0 THEN p_size::VARCHAR END AS size FROM part",
     "od": "SELECT l_suppkey AS from_id, l_partkey AS to_id, l_orderkey AS departure, l_linenumber::INTEGER AS draw, l_quantity / 10.0::DOUBLE AS access_time, l_discount * 100.0::DOUBLE AS wait_time, l_extendedprice / 2000.0::DOUBLE AS ride_time, l_tax * 50.0::DOUBLE AS transfer_time, (l_linenumber % 5)::DOUBLE AS egress_time, CASE WHEN l_returnflag = 'N' THEN '[WALK]' ELSE l_returnflag END AS routes FROM lineitem",
     "second": "SELECT o_custkey AS from_id, o_orderkey % 100 AS to_id, o_orderkey AS trip_id, o_totalprice / 5000.0::DOUBLE AS minutes FROM orders",
     "departures": "SELECT event_id AS trip_id, user_id % 40 AS stop_id, ((event_id * 7919) % 90000)::INTEGER AS dep_sec, event_type, value FROM events",
