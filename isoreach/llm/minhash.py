@@ -10,8 +10,9 @@ T log T, and documents with an empty coordinate are thrown again to twice the ra
 Signatures are joined in bands. Documents with equal shingles are one class before that. Within a band
 bucket every document meets one hub, another hub in each band, which is linear in the bucket; pairs are
 verified exactly on their shingles. Buckets that still hold several classes are then compared in
-blocks by signature, and the pairs that may pass are verified too, so no link that the bands found is
-lost. Classes are the connected components.
+blocks: by signature, which members may resemble one of another class, and exactly among those. So no
+two classes stay apart that a pair of some band joins, and what is shuffled follows the members, not
+their pairs. Classes are the connected components.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ THRESHOLD = 0.8
 #: Below the threshold by over four standard deviations of an estimate from 120 coordinates.
 MAY_PASS = 0.63
 BLOCK = 1024
+#: Ids that a Bloom filter is made for, and its bits for each.
+FILTER_IDS, FILTER_BITS = 4_000_000, 10
 SKETCH_BYTES = 4 << 20
 
 
@@ -153,45 +156,149 @@ def _agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
     return (x == y).mean(1)
 
 
-def _passing(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
-    """The pairs a, b whose shingles have at least that weighted Jaccard similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _pack(values: np.ndarray) -> bytes:
+    """Six bytes of each value."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
+def _maybe_in(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id may be among the ``wanted`` ids (distinct): all of these and a few others.
+
+    A Bloom filter of FILTER_BITS bits a wanted id, at most 8 MB, goes to the rows, so their texts are not
+    shuffled. Over FILTER_IDS ids the rows are joined instead.
+    """
+    n = wanted.count()
+    if n > FILTER_IDS:
+        return df.join(wanted, "id", "left_semi")
+    bits = 1 << max(10, (n * FILTER_BITS).bit_length())
+    place = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits))
+    words = wanted.select(F.explode(F.array(*map(place, range(4)))).alias("p")).groupBy((F.col("p") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
+    held = np.zeros(bits // 64, np.int64)
+    if words.num_rows:
+        held[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    schema = "bits array<long>"
+    row = df.sparkSession.createDataFrame(pa.table({"bits": pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array(held))}), schema)
+    test = F.lit(True)
+    for k in range(4):
+        test = test & (F.get("bits", (place(k) / 64).cast("int")).bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id, {k}), {bits}L) % 64 as int))")) != 0)
+    return df.join(F.broadcast(row), test, "left_semi")  # one row
+
+
+def _lists(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """id, list: six bytes for each shingle of a text and each time that it occurs, ascending; of the wanted ids and maybe others."""
 
     def listed(batches):
         for batch in batches:
             for part in blocks(batch):
                 t = part.column(1).to_pylist()
                 doc, element, weight = shingles(t, width)
+                times = weight.astype(np.int64)
+                nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                value = mix(np.repeat(element, times) ^ mix(nth.astype(np.uint64))) & np.uint64((1 << 48) - 1)
+                doc = np.repeat(doc, times)
+                order = np.lexsort((value, doc))
                 edges = np.searchsorted(doc, np.arange(len(t) + 1)).tolist()
-                e, w = element.astype("<u8"), weight.astype("<u4")
-                # by hash within a text, so that two lists merge
-                packed = [e[x:y].tobytes() + w[x:y].tobytes() for x, y in zip(edges, edges[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["id", "list"])
+                value = value[order]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_pack(value[x:y]) for x, y in zip(edges, edges[1:])], pa.binary())], names=["id", "list"])
+
+    return through_table(_maybe_in(texts, wanted).mapInArrow(listed, "id long, list binary"), "shingle-lists")
 
-    lists = through_table(texts.join(wanted, "id", "left_semi").mapInArrow(listed, "id long, list binary"), "shingle-lists")
+
+def _passing(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """The pairs a, b whose shingles have at least that weighted Jaccard similarity."""
+    lists = _lists(texts, pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), width)
 
     def compared(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                n, m = len(x) // 12, len(y) // 12
-                ex, ey = np.frombuffer(x, "<u8", n), np.frombuffer(y, "<u8", m)
-                wx, wy = np.frombuffer(x, "<u4", n, 8 * n), np.frombuffer(y, "<u4", m, 8 * m)
-                _, i, j = np.intersect1d(ex, ey, assume_unique=True, return_indices=True)
-                common = float(np.minimum(wx[i], wy[j]).sum())
-                keep.append(common >= threshold * (float(wx.sum()) + float(wy.sum()) - common) - 1e-9)
+                common = len(np.intersect1d(_unpack(x), _unpack(y)))
+                keep.append(common >= threshold * (len(x) // 6 + len(y) // 6 - common) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(lists.select(F.col("id").alias("a"), F.col("list").alias("la")), "a").join(lists.select(F.col("id").alias("b"), F.col("list").alias("lb")), "b")
     return both.select("a", "b", "la", "lb").mapInArrow(compared, "a long, b long")
 
 
+def _common(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each list of ``left`` shares with each of ``right``: products of 0/1 matrices over the values that two lists hold, some columns at a time."""
+    every = [*left.tolist(), *[k for k in right.tolist() if k not in set(left.tolist())]]
+    value, row = np.concatenate([lists[k] for k in every]), np.repeat(np.arange(len(every)), [len(lists[k]) for k in every])
+    u, col, n = np.unique(value, return_inverse=True, return_counts=True)
+    shared = n[col] > 1
+    row, col = row[shared], np.unique(col[shared], return_inverse=True)[1]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    at = {k: i for i, k in enumerate(every)}
+    li, ri = np.array([at[k] for k in left.tolist()]), np.array([at[k] for k in right.tolist()])
+    out = np.zeros((len(left), len(right)), np.float32)
+    width = int(col[-1]) + 1 if len(col) else 0
+    for c in range(0, width, 4096):
+        a, b = np.searchsorted(col, [c, c + 4096])
+        m = np.zeros((len(every), min(4096, width - c)), np.float32)
+        m[row[a:b], col[a:b] - c] = 1.0
+        out += m[li] @ m[ri].T
+    return out
+
+
+def _in_blocks(members: DataFrame, n: str) -> DataFrame:
+    """Every member (bucket, id, component) of a bucket of n in the pairs of blocks (i, j) that hold its block; blocks have about BLOCK members."""
+    dealt = members.withColumn("blocks", F.expr(f"cast(({n} + {BLOCK - 1}) div {BLOCK} as int)")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = dealt.select("bucket", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
+
+
+def _sides(key, table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids, comp, own = (np.asarray(table.column(c)) for c in ("id", "component", "own"))
+    i, j = key[1].as_py(), key[2].as_py()
+    return ids, comp, np.flatnonzero(own == i), np.flatnonzero(own == j)
+
+
+def _resembling(key, table):
+    """The members of two blocks that may pass with a member of another class."""
+    ids, comp, left, right = _sides(key, table)
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+    hit = np.zeros(len(ids), bool)
+    need = MAY_PASS * sig.shape[1]
+    for at in left.tolist():
+        rest = right[comp[right] != comp[at]]
+        ok = rest[(sig[rest] == sig[at]).sum(1) >= need]
+        hit[ok] = True
+        hit[at] |= len(ok) > 0
+    return pa.table({"bucket": pa.array([key[0].as_py()] * int(hit.sum()), pa.int64()), "id": pa.array(ids[hit]), "component": pa.array(comp[hit])})
+
+
+def _joining(threshold: float):
+    def joined(key, table):
+        """Links that join the classes of two blocks: one for each two classes that a passing pair connects, at most."""
+        ids, comp, left, right = _sides(key, table)
+        lists = [_unpack(x) for x in table.column("list").to_pylist()]
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        size = np.array([len(x) for x in lists], np.float32)
+        common = _common(lists, left, right)
+        passing = (common >= threshold * (size[left][:, None] + size[right][None, :] - common) - 1e-3) & (comp[left][:, None] != comp[right][None, :])
+        x, y = np.nonzero(passing)
+        pair = np.stack([np.minimum(comp[left[x]], comp[right[y]]), np.maximum(comp[left[x]], comp[right[y]])], 1)
+        first = np.unique(pair, axis=0, return_index=True)[1] if len(pair) else np.zeros(0, np.int64)
+        a, b = ids[left[x[first]]], ids[right[y[first]]]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return joined
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
     """doc_id, class_id (the least id of its class), class_size, n_links for every row with an id.
 
     Rows without a word (null, empty, only signs) are classes of their own and so are texts that nothing
     resembles; rows with a null id are left out. Texts with the same weighted shingles are linked to the
-    least id among them; ``n_links`` counts verified links of the row's text to other texts. Repeated
+    least id among them; ``n_links`` counts the verified links of the row's text that the classes are made of. Repeated
     ids count as one document, by the text that the sketch of the least hash stands for. An empty table
     gives no rows. Other columns are ignored. Ids must cast to long.
     """
@@ -215,33 +322,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = through_table(_passing(pairs, texts, threshold, width), "links")
     first = through_table(connected_components(links, "a", "b"), "classes")
 
-    # Buckets with several classes: compare the classes in blocks.
+    # Buckets with several classes: which members may resemble one of another class, by signature, then exactly.
     named = shared.join(first.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = named.join(mixed, "bucket").where("n > 2").withColumn("blocks", F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = open_.select("bucket", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component").join(sigs, "id")
-
-    def across(key, table):
-        ids, comp, own = (np.asarray(table.column(c)) for c in ("id", "component", "own"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        i, j = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        need = MAY_PASS * sig.shape[1]
-        for at in left.tolist():
-            rest = right[right > at] if i == j else right
-            rest = rest[comp[rest] != comp[at]]
-            ok = rest[(sig[rest] == sig[at]).sum(1) >= need]
-            a += [ids[at]] * len(ok)
-            b += ids[ok].tolist()
-        lo, hi = np.minimum(np.array(a, np.int64), np.array(b, np.int64)), np.maximum(np.array(a, np.int64), np.array(b, np.int64))
-        return pa.table({"a": pa.array(lo), "b": pa.array(hi)})
-
-    more = spread.groupBy("bucket", "i", "j").applyInArrow(across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = through_table(more, "block-pairs")
-    if not more.isEmpty():
-        links = through_table(links.unionByName(_passing(more, texts, threshold, width)).distinct(), "links")
+    open_ = named.join(mixed, "bucket").where("n > 2")
+    maybe = through_table(_in_blocks(open_, "n").join(sigs, "id").groupBy("bucket", "i", "j").applyInArrow(_resembling, "bucket long, id long, component long").distinct(), "resembling")
+    if not maybe.isEmpty():
+        lists = _lists(texts, maybe.select("id").distinct(), width)
+        sized = maybe.join(maybe.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+        more = _in_blocks(sized, "n").join(lists, "id").groupBy("bucket", "i", "j").applyInArrow(_joining(threshold), "a long, b long")
+        links = through_table(links.unionByName(more).distinct(), "links")
         first = through_table(connected_components(links, "a", "b"), "classes")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     every = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
