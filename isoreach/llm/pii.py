@@ -31,7 +31,8 @@ ROUNDS = 3
 LEAST_SEEDS = 3
 ACCEPT = 0.8
 CONTEXT_CHARS = 60
-SPAN = "struct<start:int,end:int,kind:int,value:string>"
+#: In the order that spans are sorted by.
+SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
 def _may_hold(kind: str, text: Column) -> Column:
@@ -60,7 +61,7 @@ def _validator(kind: str):
 
 
 def _as_kind(i: int):
-    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(i).alias("kind"), s["value"].alias("value"))
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"), s["value"].alias("value"))
 
 
 def count_of(spans: Column, kind: str) -> Column:
@@ -101,7 +102,7 @@ def _tokens(text: Column, base: Column) -> Column:
     """Digit-bearing tokens that no base span touches."""
     cut = F.transform(
         places(text, TOKEN),
-        lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(F.regexp_replace(s["value"], r"[._+@-]++$", ""))).alias("end"), F.lit(len(KINDS)).alias("kind"), F.regexp_replace(s["value"], r"[._+@-]++$", "").alias("value")),
+        lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), (s["start"] + F.length(F.regexp_replace(s["value"], r"[._+@-]++$", ""))).alias("end"), F.regexp_replace(s["value"], r"[._+@-]++$", "").alias("value")),
     )
     free = F.filter(cut, lambda s: (F.length(s["value"]) >= 6) & (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= 4) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
     return F.when(_may_hold(ID, text), free).otherwise(F.array().cast(f"array<{SPAN}>"))
@@ -110,11 +111,11 @@ def _tokens(text: Column, base: Column) -> Column:
 def _patterns(text: Column, start: Column) -> Column:
     """The last one, two and three words before a place, digits made alike; those that exist."""
     words = F.filter(F.split(F.lower(F.regexp_replace(F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))), "[0-9]", "0")), r"\s+"), lambda w: w != "")
-    return F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(words))), lambda n: F.array_join(F.slice(words, F.size(words) - n + 1, n), " "))
+    return F.transform(F.filter(F.sequence(F.lit(1), F.lit(3)), lambda n: n <= F.size(words)), lambda n: F.array_join(F.slice(words, F.size(words) - n + 1, n), " "))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, accept: float = ACCEPT, keep: bool = True) -> DataFrame:
-    """row (the input's columns in a struct; without ``keep`` the id alone), doc_id, base and spans (arrays of start, end, kind, value by start and kind) for every row.
+    """row (the input's columns in a struct; without ``keep`` the id alone), doc_id, base and spans (arrays of start, kind, end, value by start and kind) for every row.
 
     ``base`` are the spans of the four forms, ``spans`` these and the discovered identifiers. Null texts
     are empty and have no span; repeated rows are found alike; a null id stays. Columns of any name may
