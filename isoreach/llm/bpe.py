@@ -94,8 +94,9 @@ class Codec:
         self.table = None
         self._empty()
 
-    def _empty(self) -> None:
-        self.slots = 4 * TABLE_PIECES
+    def _empty(self, least: int = 0) -> None:
+        """A new table with room for ``least`` pieces; slots are a power of two and at most half of them are ever used."""
+        self.slots = 1 << (4 * max(TABLE_PIECES, least) - 1).bit_length()
         self.key = np.zeros(self.slots, np.uint64)  # 0: free
         self.entry = np.zeros(self.slots, np.int32)
         self.piece_len = np.zeros(1 << 12, np.int32)
@@ -189,8 +190,8 @@ class Codec:
         starts = piece_starts(buf, begin[sizes > 0])
         size = np.diff(starts, append=len(buf))
         h = piece_hashes(buf, starts, size)
-        if self.entries > TABLE_PIECES:
-            self._empty()
+        if self.entries > TABLE_PIECES or self.entries + len(starts) > self.slots // 2:
+            self._empty(len(starts))
         e = self._find(h, size)
         miss = np.flatnonzero(e < 0)
         odd: dict[int, np.ndarray] = {}
