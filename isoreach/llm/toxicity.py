@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.blocks import blocks, lowered, mix, word_hashes, words_of
+from isoreach.llm.blocks import blocks, lowered, mix, tidy, word_hashes, words_of
 
 BINS = 1 << 20
 PREFIXES = (5, 6, 7, 8, 9)
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for k in (0, 1):
         if sizes.get(k, 0) > rows:
             marks = marks.where((F.col("label") != k) | (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(rows / sizes[k] * (1 << 20))))
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id").select("text", "label")  # marks are bounded by 2 * rows
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id").select("text", "label")  # about 2 * rows ids at most, so no text is shuffled
 
     def listed(batches):
         for batch in batches:
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 edges = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(edges), pa.array(bins.astype(np.int32))), part.column(1)], names=["bins", "label"])
 
-    got = chosen.mapInArrow(listed, "bins array<int>, label int").toArrow().combine_chunks()
+    got = chosen.mapInArrow(tidy(listed), "bins array<int>, label int").toArrow().combine_chunks()
     lists = got.column("bins").combine_chunks() if got.num_rows else None
     if lists is None:
         return fit_machine(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -164,4 +164,4 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
             for part in blocks(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held.value.score(part.column(1).to_pylist()))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scored, f"doc_id {kind}, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(scored), f"doc_id {kind}, score double")
