@@ -152,11 +152,11 @@ def src_18(v):
     return tables.newest_rows(v.spark, path, "hex_id long, value double").select("hex_id", F.round("value", 6).alias("value"))
 
 
-@query("src_19_clip", "SELECT node_id FROM origins WHERE lon - 9.07::DOUBLE + (lat - 39.2::DOUBLE) < 0.06::DOUBLE AND lon > 9.07::DOUBLE AND lat > 39.2::DOUBLE")
+@query("src_19_clip", "SELECT node_id FROM origins WHERE lon - 9.07003::DOUBLE + (lat - 39.20003::DOUBLE) < 0.06::DOUBLE AND lon > 9.07003::DOUBLE AND lat > 39.20003::DOUBLE")
 def src_19(v):
     path = shared_path(v.spark, "points")
     v.origins.select("node_id", "lat", "lon").write.csv(path, header=True)
-    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((9.07, 39.2), (9.13, 39.2), (9.07, 39.26))))
+    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((9.07003, 39.20003), (9.13003, 39.20003), (9.07003, 39.26003))))
     near = v.spark.read.csv(path, header=True, schema="node_id long, lat double, lon double").where("lat between 39.2 and 39.26 and lon between 9.07 and 9.13")  # the ring's box first
     return near.where(geo.in_polygon(F.col("lon"), F.col("lat"), ring)).select("node_id")
 

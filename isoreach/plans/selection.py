@@ -71,9 +71,9 @@ def flt_08(v):
     return c.join(P.drops(c, ["place_id"]), ["place_id", "poi_type"], "left_anti").select("place_id", "poi_type")
 
 
-@query("flt_09_study_area", "SELECT node_id FROM origins WHERE lon - 9.07::DOUBLE + (lat - 39.2::DOUBLE) < 0.06::DOUBLE AND lon > 9.07::DOUBLE AND lat > 39.2::DOUBLE")
+@query("flt_09_study_area", "SELECT node_id FROM origins WHERE lon - 9.07003::DOUBLE + (lat - 39.20003::DOUBLE) < 0.06::DOUBLE AND lon > 9.07003::DOUBLE AND lat > 39.20003::DOUBLE")
 def flt_09(v):
-    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((9.07, 39.2), (9.13, 39.2), (9.07, 39.26))))
+    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((9.07003, 39.20003), (9.13003, 39.20003), (9.07003, 39.26003))))
     return v.origins.where(geo.in_polygon(F.col("lon"), F.col("lat"), ring)).select("node_id")
 
 
