@@ -4,10 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def visible(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever folder they start in."""
+    root = str(Path(__file__).resolve().parents[2])
+    held = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in held.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{held}" if held else root
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 

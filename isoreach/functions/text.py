@@ -54,3 +54,8 @@ def digest(*columns: Column) -> Column:
 def class_level(score: Column, bounds: list[float]) -> Column:
     """1 and one more for each bound that the score reaches."""
     return F.lit(1) + sum((F.when(score >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+
+
+def shade(t: Column, colour: tuple[int, int, int]) -> Column:
+    """#RRGGBB between white (0) and a colour (1)."""
+    return F.format_string("#%02X%02X%02X", *(F.bround(255 - t * (255 - c), 0).cast("int") for c in colour))

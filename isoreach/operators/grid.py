@@ -55,3 +55,31 @@ def greedy_nearest(left: DataFrame, right: DataFrame, key: str, left_at: tuple[s
                 break
     types = dict(left.dtypes) | dict(right.dtypes)
     return left.sparkSession.createDataFrame(out, f"{key} {types[key]}, {right_key} {types[right_key]}, dist_m double")
+
+
+def convex_hulls(points: DataFrame, key: str, x: str, y: str, parts: int = 64) -> DataFrame:
+    """key, i, x, y: the corners of each key's convex hull, against the clock from the least point.
+
+    A key's points are dealt to ``parts`` tasks, and the hull of the parts' hulls, which have few corners, is the
+    hull of all. Points without a coordinate are left out.
+    """
+    kind = dict(points.dtypes)[key]
+    dealt = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y"), F.pmod(F.xxhash64(x, y), F.lit(parts)).alias("part"))
+    some = dealt.groupBy("key", "part").applyInPandas(_hull, f"key {kind}, i int, x double, y double")
+    return some.groupBy("key").applyInPandas(_hull, f"key {kind}, i int, x double, y double").withColumnRenamed("key", key)
+
+
+def _hull(pdf):
+    import pandas as pd
+
+    pts = sorted(set(zip(pdf["x"], pdf["y"])))
+    ring = []
+    for order in (pts, pts[::-1]):
+        chain: list = []
+        for p in order:
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]) <= 0:
+                chain.pop()
+            chain.append(p)
+        ring += chain[:-1]
+    ring = ring or pts
+    return pd.DataFrame({"key": [pdf["key"].iloc[0]] * len(ring), "i": range(len(ring)), "x": [p[0] for p in ring], "y": [p[1] for p in ring]})

@@ -305,3 +305,12 @@ def jn_26(v):
     for p in parts[1:]:
         all_parts = all_parts.unionByName(p)
     return all_parts.groupBy("t").agg(F.count("*").alias("n"))
+
+
+@query("src_12_zipped_feed", "SELECT n_nationkey::VARCHAR AS route_id, n_name AS route_name, NULL::VARCHAR AS absent FROM nation")
+def src_12(v):
+    path = shared_path(v.spark, "feed") + "/feed.zip"
+    rows = v.table("nation").select("n_nationkey", "n_name").collect()  # the table of nations has a fixed few rows
+    sinks.write_zip(v.spark, {"routes.txt": "route_id,route_name\n" + "".join(f'{r.n_nationkey},"{r.n_name}"\n' for r in rows)}, path)
+    got = tables.read_zip_csv(v.spark, path, "routes.txt", ["route_id", "route_name", "absent"])
+    return got.unionByName(tables.read_zip_csv(v.spark, path, "stops.txt", ["route_id", "route_name", "absent"]))

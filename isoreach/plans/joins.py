@@ -309,3 +309,25 @@ def agg_17(v):
 
     comp = connected_components(jn_17(v), "i", "j").withColumnRenamed("node", "s_suppkey")
     return comp.join(v.table("supplier").select("s_suppkey", "s_name"), "s_suppkey").groupBy("component").agg(F.array_join(F.sort_array(F.collect_set("s_name")), "; ").alias("names"))
+
+
+@query(
+    "it_02_walk_step",
+    ROUTE_SQL.format(limit=300).replace("SELECT src::BIGINT AS src, node::BIGINT AS node, round(min(d), 6) AS dist FROM walk GROUP BY src, node", "SELECT src::BIGINT AS src, p.poi_id, round((min(d) / 1000 + gap_p) / 5.0::DOUBLE * 60, 6) AS walk, min(d) / 1000 + gap_p <= 0.25 AS in_radius FROM walk JOIN pois p ON (p.poi_id * 7) % 200 = walk.node GROUP BY src, p.poi_id, gap_p"),
+)
+def it_02(v):
+    """Places on their graph nodes, bounded paths from the origins, and minutes on foot with the last gap."""
+    from isoreach.operators.decay import impedance
+
+    sources = v.spark.createDataFrame([(0,), (17,), (101,)], "src long")
+    on_graph = v.pois.select("poi_id", ((F.col("poi_id") * 7) % 200).alias("node"), "gap_p")
+    reached = graph.shortest_paths(v.edges, sources, 300.0).join(on_graph, "node")
+    walk = impedance("walk", F.col("dist") / 1000, F.lit(0.0), F.col("gap_p"))
+    return reached.select("src", "poi_id", F.round(walk, 6).alias("walk"), (F.col("dist") / 1000 + F.col("gap_p") <= 0.25).alias("in_radius"))
+
+
+@query("it_06_convex_hull")
+def it_06(v):
+    from isoreach.operators.grid import convex_hulls
+
+    return convex_hulls(v.origins.select("zone", "lon", "lat"), "zone", "lon", "lat")

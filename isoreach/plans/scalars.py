@@ -220,3 +220,23 @@ def scenario_loss(v):
     return modal(v).join(drop, ["poi_id", "poi_type"], "left_anti").groupBy("node_id").agg(F.count("*").alias("n"))
 
 
+
+
+@query("fn_32_shades", "SELECT hex_id, printf('#%02X%02X%02X', round_even(255 - a * (255 - 21), 0)::INTEGER, round_even(255 - a * (255 - 187), 0)::INTEGER, round_even(255 - a * (255 - 126), 0)::INTEGER) AS shade FROM (SELECT hex_id, a FROM scores)")
+def fn_32(v):
+    return v.scores.select("hex_id", text.shade(F.col("a"), (21, 187, 126)).alias("shade"))
+
+
+@query("fn_33_bitmaps", "SELECT zone, count(DISTINCT node_id) AS n FROM origins GROUP BY zone")
+def fn_33(v):
+    """Kept places of a zone as bitmaps of 32,768 places each; their bits are the places."""
+    words = v.origins.groupBy("zone", F.bitmap_bucket_number("node_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("node_id")).alias("bits"))
+    return words.groupBy("zone").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+
+
+@query("it_07_default_walkability", "SELECT u, v, min(length_m) AS length_m, 5.0::DOUBLE AS wscore, round((min(length_m) / 1000) / 5.0::DOUBLE * 60, 6) AS minutes FROM edges GROUP BY u, v")
+def it_07(v):
+    from isoreach.operators.graph import shortest_edges
+
+    e = shortest_edges(v.edges).withColumn("wscore", F.lit(5.0))
+    return e.withColumn("minutes", F.round(decay.impedance("walk", F.col("length_m") / 1000, F.lit(0.0), F.lit(0.0), F.col("wscore")), 6))

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoreach.functions.shared import visible
+
 
 def spread(key: str, prime: int, base: float, width: float) -> Column:
     """A coordinate from an integer key."""
@@ -19,6 +21,7 @@ def _sql_spread(key: str, prime: int, base: float, width: float) -> str:
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
+        visible(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:

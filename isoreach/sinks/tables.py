@@ -56,3 +56,21 @@ def column_names(names: list[str], width: int) -> dict[str, str]:
         taken.add(name.lower())
         out[n] = name
     return out
+
+
+def write_zip(spark, members: dict[str, str], path: str) -> None:
+    """Texts as the members of one zip, in any store that Spark's file systems reach; for feeds of a size that the driver holds."""
+    import io
+    import zipfile
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in members.items():
+            z.writestr(name, body)
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    try:
+        out.write(bytearray(held.getvalue()))
+    finally:
+        out.close()

@@ -226,3 +226,13 @@ def test_scenarios_and_profiles(spark):
 
 def test_column_names_stay_unique():
     assert sinks.column_names(["service quality", "service_quality", "service_quality_2"], 10) == {"service quality": "service_qu", "service_quality": "service__1", "service_quality_2": "service__2"}
+
+
+def test_hull_holds_all_points(spark):
+    rng = random.Random(5)
+    pts = [(1, rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(400)] + [(2, 0.0, 0.0), (2, 0.0, 0.0), (3, 0.0, 0.0), (3, 1.0, 1.0)]
+    rows = grid.convex_hulls(spark.createDataFrame(pts, "k long, x double, y double"), "k", "x", "y", parts=7).collect()
+    ring = [(r.x, r.y) for r in sorted((r for r in rows if r.k == 1), key=lambda r: r.i)]
+    cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    assert all(cross(a, b, p[1:]) >= -1e-12 for a, b in zip(ring, ring[1:] + ring[:1]) for p in pts if p[0] == 1)
+    assert set(ring) <= {p[1:] for p in pts} and len([r for r in rows if r.k == 2]) == 1 and len([r for r in rows if r.k == 3]) == 2
