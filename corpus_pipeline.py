@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 
 from isoreach.functions.shared import through_table
 from isoreach.llm import bpe_table, decontaminate, langid, minhash, pii
-from isoreach.llm.queries import tokenizer_path
+from isoreach.llm.queries import small_batches, tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a null id cannot be named and stay; of rows with one id the least text stays."""
+    small_batches(spark)
     kept = minhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("r"))
@@ -34,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -43,6 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     out = bpe_table.encode_decode(docs, tokenizer_path())
     return out.select(
         "doc_id",

@@ -24,6 +24,7 @@ from isoreach.llm.blocks import _POS, _POWERS, mix
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 TABLE_PIECES = 1 << 20
+HASH_BYTES = 1 << 20
 _GRAPHIC = np.array([33 <= b <= 126 for b in range(256)])
 #: Graphic ASCII, or the first byte of a two-byte letter; U+0080 to U+00BF (C2) holds white space.
 _STARTS_WORD = np.array([33 <= b <= 126 or 0xC3 <= b <= 0xDF for b in range(256)])
@@ -51,11 +52,19 @@ def piece_starts(buf: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
 
 def piece_hashes(buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each piece, never 0."""
-    pos = np.arange(len(buf), dtype=np.int32) - np.repeat(starts.astype(np.int32), size)
-    with np.errstate(over="ignore"):
-        if len(size) and size.max() > _POS:
+    h = np.zeros(len(starts), np.uint64)
+    ends = starts + size
+    a = 0
+    while a < len(starts):  # a few bytes of memory for each byte, so some bytes at a time
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + HASH_BYTES, side="right")))
+        lo, hi = int(starts[a]), int(ends[b - 1])
+        own = (starts[a:b] - lo).astype(np.int32)
+        pos = np.arange(hi - lo, dtype=np.int32) - np.repeat(own, size[a:b])
+        if pos.max() >= _POS:
             pos %= _POS
-        h = mix(np.add.reduceat((buf + np.uint64(1)) * _POWERS[pos], starts))
+        with np.errstate(over="ignore"):
+            h[a:b] = mix(np.add.reduceat((buf[lo:hi] + np.uint64(1)) * _POWERS[pos], own))
+        a = b
     h[h == 0] = 1
     return h
 
@@ -218,10 +227,11 @@ class Codec:
 
 def ragged(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The indexes at[0] .. at[0]+n[0]-1, at[1] .. and so on."""
-    ends = np.cumsum(n)
-    if not len(ends):
+    if not len(n):
         return np.zeros(0, np.int64)
-    return np.arange(int(ends[-1]), dtype=np.int64) + np.repeat(at - (ends - n), n)
+    ends = np.cumsum(n)
+    kind = np.int32 if max(int(ends[-1]), int(at.max())) < 2**31 - 1 else np.int64
+    return np.arange(int(ends[-1]), dtype=kind) + np.repeat((at - (ends - n)).astype(kind), n)
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:

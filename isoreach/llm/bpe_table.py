@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isoreach.llm.blocks import tidy, trim
 from isoreach.llm.bpe import Codec, piece_hashes, piece_starts, ragged
 
 CHUNK_BYTES = 12 << 20
@@ -77,7 +78,20 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _read_chunk(blob: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(blob).read_next_batch()
+    return pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
+
+
+def _by_chunk(held: list[pa.RecordBatch]):
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    of = rows.column(2).to_numpy()
+    for c in np.unique(of).tolist():
+        part = rows.filter(pa.array(of == c)).select([0, 1]).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(part)
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "docs"])
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -94,14 +108,14 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def packed(batches):
         """Batches as compressed Arrow streams by chunk."""
+        held, size = [], 0
         for batch in batches:
-            of = np.asarray(batch.column(2))
-            for c in np.unique(of).tolist():
-                part = batch.filter(pa.array(of == c)).select([0, 1])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "docs"])
+            held.append(batch)
+            size += batch.nbytes
+            if size >= chunk_bytes:
+                yield from _by_chunk(held)
+                held, size = [], 0
+        yield from _by_chunk(held)
 
     def listed(key, table):
         codec = Codec.of(tokenizer)
@@ -163,10 +177,11 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             raise ValueError("decoded bytes differ from the text: two pieces of one hash")
         text = pa.Array.from_buffers(pa.string(), len(p.of_text), [None, pa.py_buffer(by_text(shown_n)), pa.py_buffer(decoded)])
         doc_ids = pa.chunked_array([b.column(0) for b in batches], type=batches[0].column(0).type if batches else left_type)
+        trim()
         return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(by_text(count)), pa.array(ids.astype(np.int32))), "decoded": text})
 
     left_type = pa.int64() if kind == "bigint" else pa.string()
-    parts = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).mapInArrow(packed, "chunk long, docs binary").repartition("chunk")
+    parts = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).mapInArrow(tidy(packed), "chunk long, docs binary").repartition("chunk")
     lists = parts.groupBy("chunk").applyInArrow(listed, "chunk long, bucket long, words binary")
     coded = lists.groupBy("bucket").applyInArrow(encoded, "chunk long, bucket long, ids binary")
     return parts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(joined, f"doc_id {kind}, ids array<int>, decoded string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.blocks import blocks
+from isoreach.llm.blocks import blocks, tidy
 
 ERROR_RATE = 0.08
 #: Shorter items are phrases of everyday text and are not searched for.
@@ -164,7 +164,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     cols = list(zip(*hits)) or [(), (), ()]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32())))], names=["doc_id", "item_id", "edits", "end"])
 
-        own = rows.mapInArrow(searched, schema)
+        own = rows.mapInArrow(tidy(searched), schema)
         out = own if out is None else out.unionByName(own)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -175,7 +175,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "tex
     at_text = docs.columns.index(text_col)
     for held in item_blocks(items):
         sent = docs.sparkSession.sparkContext.broadcast((held, rate))  # BLOCK_BYTES at most, and one item
-        out = out.mapInArrow(_cleaning(sent, text_col, at_text), docs.schema)
+        out = out.mapInArrow(tidy(_cleaning(sent, text_col, at_text)), docs.schema)
     return out
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.blocks import blocks
+from isoreach.llm.blocks import blocks, tidy
 
 BINS = 1 << 16
 SCRIPT_SHARE = 0.01
@@ -25,7 +25,7 @@ FIT_ROWS = 4000
 NOT = -1e4
 #: The share of a text's letters that a known language has at least, for a text to be kept.
 LEAST_SCORE = 0.5
-GROUP_SCORES = 12 << 20
+GROUP_SCORES = 3 << 20
 BLOCK = 1 << 20
 
 # First code point, end and name of the scripts that are told apart; letters elsewhere are "other".
@@ -199,7 +199,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "bin", "n"])
 
     counts = np.zeros((len(languages), BINS + len(SCRIPT_NAMES)))
-    got = some.mapInArrow(counted, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    got = some.mapInArrow(tidy(counted), "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     counts[[languages.index(x) for x in got.column("lang").to_pylist()], got.column("bin").to_numpy()] = got.column("n").to_numpy()
     return Model(languages, counts[:, :BINS], counts[:, BINS:])
 
@@ -222,6 +222,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             for part in blocks(batch, limit=BLOCK):
                 words = Words(part.column(1).to_pylist())
                 group.append((part, words, m.scores(words)))
+                words.c = None
                 size += group[-1][2].size
                 if size >= GROUP_SCORES:
                     yield _spans(m, group, penalty)
@@ -229,7 +230,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             if group:
                 yield _spans(m, group, penalty)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(labelled, f"doc_id {kind}, lang string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(labelled), f"doc_id {kind}, lang string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE, penalty: float = SWITCH) -> DataFrame:
@@ -252,6 +253,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_
             for i, part in enumerate(parts):
                 words = Words(part.column(at_text).to_pylist())
                 group.append((part, words, m.scores(words)))
+                words.c = None
                 size += group[-1][2].size
                 if size >= GROUP_SCORES or i == len(parts) - 1:
                     found = _spans(m, group, penalty)
@@ -261,7 +263,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_
                     yield from rows.filter(pa.array(known)).to_batches()
                     group, size = [], 0
 
-    return plain.mapInArrow(kept, plain.schema)
+    return plain.mapInArrow(tidy(kept), plain.schema)
 
 
 def _spans(m: Model, group: list, penalty: float) -> pa.RecordBatch:
@@ -283,7 +285,7 @@ def _spans(m: Model, group: list, penalty: float) -> pa.RecordBatch:
     lang = np.where(total > 0, best, len(m.languages))
     score = np.where(total > 0, share[np.arange(n_texts), best] / np.maximum(total, 1), 0.0)
     new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))
-    last = np.append(new[1:], len(text)) - 1
+    last = np.append(new[1:], len(text))[: len(new)] - 1
     spans = pa.StructArray.from_arrays([pa.array(begin[new].astype(np.int32)), pa.array(end[last].astype(np.int32)), pa.array(names[label[new]], pa.string())], names=["start", "end", "lang"])
     offsets = np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=n_texts))]).astype(np.int32)
     return pa.RecordBatch.from_arrays([ids, pa.array(names[lang], pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), spans)], names=["doc_id", "lang", "score", "spans"])

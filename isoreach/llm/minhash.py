@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoreach.functions.shared import through_table
-from isoreach.llm.blocks import blocks, lowered, mix, unit, word_hashes, words_of
+from isoreach.llm.blocks import blocks, lowered, mix, tidy, unit, word_hashes, words_of
 from isoreach.operators.components import connected_components
 
 SHINGLE = 5
@@ -146,7 +146,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
                 )
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return chosen.mapInArrow(sketched, "id long, k1 long, k2 long, bands array<long>, sig binary")
+    return chosen.mapInArrow(tidy(sketched), "id long, k1 long, k2 long, bands array<long>, sig binary")
 
 
 def _agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -207,7 +207,7 @@ def _lists(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 value = value[order]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_pack(value[x:y]) for x, y in zip(edges, edges[1:])], pa.binary())], names=["id", "list"])
 
-    return through_table(_maybe_in(texts, wanted).mapInArrow(listed, "id long, list binary"), "shingle-lists")
+    return through_table(_maybe_in(texts, wanted).mapInArrow(tidy(listed), "id long, list binary"), "shingle-lists")
 
 
 def _passing(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -223,7 +223,7 @@ def _passing(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(lists.select(F.col("id").alias("a"), F.col("list").alias("la")), "a").join(lists.select(F.col("id").alias("b"), F.col("list").alias("lb")), "b")
-    return both.select("a", "b", "la", "lb").mapInArrow(compared, "a long, b long")
+    return both.select("a", "b", "la", "lb").mapInArrow(tidy(compared), "a long, b long")
 
 
 def _common(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -318,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs = shared.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     pairs = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    pairs = through_table(pairs.select("a", "b", "sa", "sb").mapInArrow(likely, "a long, b long"), "hub-pairs")
+    pairs = through_table(pairs.select("a", "b", "sa", "sb").mapInArrow(tidy(likely), "a long, b long"), "hub-pairs")
     links = through_table(_passing(pairs, texts, threshold, width), "links")
     first = through_table(connected_components(links, "a", "b"), "classes")
 

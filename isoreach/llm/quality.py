@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoreach.llm.blocks import blocks
+from isoreach.llm.blocks import blocks, tidy
 
 COMMON = 100
 CLASS_LIMIT, CLASS_CHARS = 0.28, 200
@@ -146,7 +146,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
         def flush():
             for lang, own in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
             held.clear()
 
         for batch in batches:
@@ -170,10 +170,10 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             held[lang] = merged
         yield from flush()
         for lang, own in classes.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array([b"\n%d" % k for k in range(len(own))], pa.binary()), pa.array(own.astype(np.int64))], names=["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array([b"\n%d" % k for k in range(len(own))], pa.binary()), pa.array(own.astype(np.int64))], names=["lang", "word", "n"])
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sums = rows.mapInArrow(counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(tidy(counted), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # The most frequent of a language without one window over its words: the best of each slice, then the best of these.
     sums = sums.withColumn("class", F.col("word").startswith(F.lit(b"\n"))).withColumn("slice", F.pmod(F.xxhash64("word"), F.lit(SLICES)))
     slices, whole = Window.partitionBy("lang", "class", "slice"), Window.partitionBy("lang", "class")
@@ -223,4 +223,4 @@ def judge(docs: DataFrame, refs: References, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", *names])
 
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, language string, class_distance double, word_distance double, kept boolean"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(judged, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(judged), schema)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoreach.functions.shared import visible
 from isoreach.llm import bpe_table, decontaminate, langid, minhash, pii, quality, repair, sharding, token_counts, toxicity
 
 
@@ -16,7 +17,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of fewer rows than the default, since a row may be a long text; both sides of the pipe hold some of them. Workers are told where this package lies."""
+    visible(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

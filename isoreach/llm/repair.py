@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isoreach.functions.shared import shared_path
-from isoreach.llm.blocks import blocks
+from isoreach.llm.blocks import blocks, tidy
 from isoreach.llm.bpe import Codec, ragged
 
 BLOCK_IDS = 1 << 20
@@ -163,7 +163,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, partitions: int
 
     path = shared_path(spark, "token-ids")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(written, f"block long, part int, first_doc {kind}, last_doc {kind}, doc_ids array<{kind}>, lengths array<long>, n_ids long, payload binary").write.parquet(path)
+    rows.mapInArrow(tidy(written), f"block long, part int, first_doc {kind}, last_doc {kind}, doc_ids array<{kind}>, lengths array<long>, n_ids long, payload binary").write.parquet(path)
     return path
 
 
@@ -211,4 +211,4 @@ def read_ids(spark: SparkSession, path: str, only: DataFrame | None = None) -> D
                 ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays([docs, pa.array(base + at, pa.int64()), pa.array(n, pa.int64()), ids], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return rows.mapInArrow(read, f"doc_id {kind}, start long, n_tokens long, ids binary")
+    return rows.mapInArrow(tidy(read), f"doc_id {kind}, start long, n_tokens long, ids binary")

@@ -5,8 +5,9 @@ A group (rows with equal text) is indivisible. Differencing keeps partial partit
 sums meet small ones. One heap over all groups would not scale, so it runs in levels: groups are hashed
 into buckets of some thousand groups, differencing packs each bucket into ``shards`` packs of nearly
 equal bytes, and the packs are the groups of the next level, until few enough remain for one heap.
-Groups over ``1 / (shards * HEAVY)`` of all bytes (at most ``shards * HEAVY`` can exist) skip the
-packing, so a group with a third of all rows meets the finest partial partitions last.
+Groups over ``1 / (shards * HEAVY)`` of all bytes (at most ``shards * HEAVY`` can exist) and some
+LAST_HEAP / 4 others, by a hash, skip the packing: the last heap sees the large ones whole and evens
+out with the small ones.
 """
 
 from __future__ import annotations
@@ -76,6 +77,9 @@ def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
     heavy = groups.filter(F.col("bytes") > heavy_at) if n > LAST_HEAP else groups
     links, level, left = [], 0, groups.filter(F.col("bytes") <= heavy_at) if n > LAST_HEAP else groups.limit(0)
     m = n if n > LAST_HEAP else 0
+    loose_of = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(max(1, n))) < LAST_HEAP // 4  # about so many single groups even out what packs leave
+    loose = left.where(loose_of)
+    left = left.where(~loose_of)
     while m > LAST_HEAP:
         buckets = max(1, -(-m // BUCKET_GROUPS))
 
@@ -83,7 +87,7 @@ def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
         links.append(link)
         left = through_table(link.groupBy(F.col("pack").alias("key")).agg(F.sum("bytes").alias("bytes")), "pack-sums")
         m, level = left.count(), level + 1
-    rows = [(r.key, r.bytes, False) for r in heavy.select("key", "bytes").collect()] + [(r.key, r.bytes, True) for r in left.collect()]
+    rows = [(r.key, r.bytes, False) for r in heavy.unionByName(loose).select("key", "bytes").collect()] + [(r.key, r.bytes, True) for r in left.collect()]
     rows.sort(key=lambda r: (-r[1], r[0]))
     at = karmarkar_karp([r[1] for r in rows], shards)
     dealt = spark.createDataFrame([(r[0], int(p), r[2]) for r, p in zip(rows, at)], "key string, shard int, pack boolean")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoreach.functions.shared import through_table
-from isoreach.llm.blocks import blocks
+from isoreach.llm.blocks import blocks, tidy
 from isoreach.llm.bpe import Codec
 
 RANGE = 1024
@@ -25,7 +25,7 @@ def token_lengths(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 _, n = codec.encode([(t or "").encode() for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(counted, f"doc_id {kind}, n_tokens long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(counted), f"doc_id {kind}, n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
