@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from isoreach.llm.blocks import tidy, trim
 from isoreach.llm.bpe import Codec, piece_hashes, piece_starts, ragged
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 
 
 class _Pieces:
@@ -49,6 +50,10 @@ class _Pieces:
         self.order = np.argsort(self.bucket, kind="stable")
         self.at, self.n = starts[first], self.size[first]
 
+    def forget(self) -> None:
+        """What only the lists need goes, before the texts are put together."""
+        self.order = self.bucket = self.at = self.size = None
+
     def words(self, some: np.ndarray) -> list[bytes]:
         raw = self.raw
         return [raw[a : a + n] for a, n in zip(self.at[some].tolist(), self.n[some].tolist())]
@@ -112,7 +117,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
-            if size >= chunk_bytes:
+            if size >= BATCH_BYTES:
                 yield from _by_chunk(held)
                 held, size = [], 0
         yield from _by_chunk(held)
@@ -125,6 +130,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         for bucket, part in p.lists():
             names.append(bucket)
             blobs.append(_packed(p.words(part)))
+        trim()
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(names), pa.int64()), "bucket": pa.array(names, pa.int64()), "words": pa.array(blobs, pa.binary())})
 
     def encoded(key, table):
@@ -147,6 +153,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         for own in lists:
             e = np.fromiter((place[w] for w in own), np.int64, len(own))
             out.append(zlib.compress(count[e].astype("<u4").tobytes() + ids[ragged(at[e], count[e])].tobytes(), 1))
+        trim()
         return pa.table({"chunk": table.column("chunk").cast(pa.int64()), "bucket": table.column("bucket").cast(pa.int64()), "ids": pa.array(out, pa.binary())})
 
     def joined(left, right):
@@ -164,6 +171,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             flat.append(np.frombuffer(raw, codec.dtype, (len(raw) - 4 * len(part)) // width, 4 * len(part)))
             filled += len(flat[-1])
         flat = np.concatenate(flat)
+        p.forget()
         # the distinct pieces decoded, each once, from their ids
         piece_at, piece_len, piece_flat = codec.piece_table()
         shown = piece_flat[ragged(piece_at[flat], piece_len[flat])]
