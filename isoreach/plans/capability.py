@@ -100,12 +100,12 @@ def agg_06(v):
 
 @query("fn_05_modal_impedance", "SELECT node_id, poi_id, round(walk, 6) AS walk, round(bike, 6) AS bike, round(drive, 6) AS drive FROM decays WHERE poi_id <= 10")
 def fn_05(v):
-    return modal(v).where("poi_id <= 10").select("node_id", "poi_id", *(F.round(m, 6).alias(m) for m in ("walk", "bike", "drive")))
+    return modal(v).select("node_id", "poi_id", *(F.round(m, 6).alias(m) for m in ("walk", "bike", "drive")))
 
 
 @query("fn_03_decay", "SELECT node_id, poi_id, round(dw, 6) AS dw, round(db, 6) AS db, round(dd, 6) AS dd, round(dt, 6) AS dt FROM decays WHERE poi_id <= 10")
 def fn_03(v):
-    return decays(v).where("poi_id <= 10").select("node_id", "poi_id", *(F.round(m, 6).alias(m) for m in ("dw", "db", "dd", "dt")))
+    return decays(v).select("node_id", "poi_id", *(F.round(m, 6).alias(m) for m in ("dw", "db", "dd", "dt")))
 
 
 @query(
@@ -118,7 +118,7 @@ def win_01(v):
     cols = ["dw", "db", "dd", "dt"]
     ranks = decay.modal_ranks([F.col(c) for c in cols])
     rows = F.array(*(F.struct(F.lit(m).alias("mode"), F.round(c, 6).alias("d"), r.alias("rank")) for m, c, r in zip(decay.MODES, cols, ranks)))
-    return decays(v).where("poi_id <= 10").select("node_id", "poi_id", F.inline(rows))
+    return decays(v).select("node_id", "poi_id", F.inline(rows))
 
 
 @query(
@@ -130,7 +130,7 @@ def win_01(v):
 def fn_30(v):
     cols = [F.col(c) for c in ("dw", "db", "dd", "dt")]
     weighted = F.map_from_arrays(F.array(*map(F.lit, decay.MODES[:4])), F.array(*(c / r for c, r in zip(cols, decay.modal_ranks(cols)))))
-    return decays(v).where("poi_id <= 10").withColumn("w", weighted).select("node_id", "poi_id", *(F.round(F.col("w")[m], 6).alias(m) for m in decay.MODES[:4]))
+    return decays(v).withColumn("w", weighted).select("node_id", "poi_id", *(F.round(F.col("w")[m], 6).alias(m) for m in decay.MODES[:4]))
 
 
 @query(

@@ -207,7 +207,7 @@ def scenario_strike(v):
     from isoreach.operators.scenarios import Strike
     from isoreach.plans.capability import modal
 
-    return Strike().transit(modal(v), "bus").where("poi_id <= 10").select("node_id", "poi_id", F.round(decay.decay(F.col("bus"), 20.0, transit=True), 6).alias("d"))
+    return Strike().transit(modal(v), "bus").select("node_id", "poi_id", F.round(decay.decay(F.col("bus"), 20.0, transit=True), 6).alias("d"))
 
 
 @query("scenario_neighbourhood_loss", "SELECT node_id, count(*) AS n FROM modal WHERE NOT (plat > 39.2::DOUBLE AND plat < 39.24::DOUBLE AND plon > 9.08::DOUBLE AND plon < 9.14::DOUBLE AND poi_type = 't1') GROUP BY node_id")
