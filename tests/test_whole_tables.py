@@ -7,7 +7,7 @@ import pytest
 from isoreach.plans import QUERIES
 from isoreach.plans.views import Views
 
-CUSTOMERS, SUPPLIERS, PARTS = (3, 51, 1502), (4, 11, 25, 1003), (5, 21, 2004, 2005)
+CUSTOMERS, SUPPLIERS, PARTS = (3, 51, 135, 1135), (4, 11, 25, 1003, 1005), (5, 21, 2004, 2005)
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +18,7 @@ def small(spark, tmp_path_factory):
     put("customer", [(i, i % 25) for i in CUSTOMERS], "c_custkey long, c_nationkey int")
     put("supplier", [(i, i % 25, 100.0) for i in SUPPLIERS], "s_suppkey long, s_nationkey int, s_acctbal double")
     put("part", [(i, "a b", "T", f"Brand#{i}", i % 50) for i in PARTS], "p_partkey long, p_name string, p_type string, p_brand string, p_size int")
+    put("nation", [(i, f"n{i}", i % 5) for i in range(25)], "n_nationkey int, n_name string, n_regionkey int")
     return at
 
 
@@ -61,3 +62,18 @@ def test_modal_queries_keep_all_places(spark, small):
         assert [ranks[k][m][1] for m in ("walk", "bike", "drive", "bus")] == [order.index(i) + 1 for i in range(4)]
         assert [ranks[k][m][0] for m in ("walk", "bike", "drive", "bus")] == pytest.approx(ds, abs=2e-6)
         assert strike[k] == [0.0]
+
+
+def test_joins_keep_all_places_and_members(spark, small):
+    v = Views(spark, small)
+    origins, places, pois, zones = v.origins.collect(), v.places.collect(), v.pois.collect(), v.zones.collect()
+    best = lambda o, p: 1 if round(metres(o.lat, o.lon, p.qlat + 0.001, p.qlon), 6) <= round(metres(o.lat, o.lon, p.qlat, p.qlon - 0.002), 6) else 2
+    want = {(o.node_id, p.place_id): best(o, p) for o in origins for p in places}
+    assert {(r.node_id, r.place_id): r.chosen for r in QUERIES["jn_03_best_candidate"](spark, small).collect()} == want and len(want) == len(CUSTOMERS) * len(PARTS)
+    assert sorted(map(tuple, QUERIES["jn_04_distinct_destinations"](spark, small).collect())) == sorted({(p, c) for (_, p), c in want.items()})
+    anchors = [a for a in pois if a.poi_type == "t1"]
+    near = {p.place_id: min(anchors, key=lambda a, p=p: (round(metres(p.qlat, p.qlon, a.plat, a.plon), 6), a.poi_id)).poi_id for p in places}
+    assert {r.place_id: r.poi_id for r in QUERIES["jn_18_nearest_anchor"](spark, small).collect()} == near
+    held = {z.zone_id: [o.node_id for o in origins if o.zone == z.zone_id and z.south <= o.lat < z.north and z.west <= o.lon < z.east] for z in zones}
+    got = {r.zone_id: (r.n, r.some) for r in QUERIES["jn_19_fragments_in_shape"](spark, small).collect()}
+    assert got == {z: (len(ids), ",".join(map(str, sorted(ids)))) for z, ids in held.items() if ids} and any(i > 50 for ids in held.values() for i in ids)
