@@ -110,7 +110,7 @@ def agg_22(v):
 
 @query("agg_23_verdicts", "SELECT zone, round(max(d), 6) AS worst, round(avg(d), 6) AS mean, first(hex_id ORDER BY d DESC, hex_id) AS at, CASE WHEN max(d) >= 20 THEN 'sensitive' WHEN max(d) >= 5 THEN 'moderate' ELSE 'robust' END AS verdict FROM (SELECT hex_id, hex_id % 37 AS zone, round(abs(b - a) * 100, 9) AS d FROM scores WHERE hex_id % 11 < 3) GROUP BY zone")
 def agg_23(v):
-    rows = v.scores.where("hex_id % 11 < 3").select("hex_id", (F.col("hex_id") % 37).alias("zone"), F.round(F.abs(F.col("b") - F.col("a")) * 100, 9).alias("d"))
+    rows = v.scores.select("hex_id", (F.col("hex_id") % 37).alias("zone"), F.round(F.abs(F.col("b") - F.col("a")) * 100, 9).alias("d"))
     verdict = F.when(F.max("d") >= 20, F.lit("sensitive")).when(F.max("d") >= 5, F.lit("moderate")).otherwise(F.lit("robust"))
     return rows.groupBy("zone").agg(F.round(F.max("d"), 6).alias("worst"), F.round(F.avg("d"), 6).alias("mean"), F.min_by("hex_id", F.struct(-F.col("d"), "hex_id")).alias("at"), verdict.alias("verdict"))
 
@@ -163,7 +163,7 @@ def agg_27(v):
 
 @query("agg_28_natural_breaks")
 def agg_28(v):
-    return scaling.natural_breaks(v.scores.select(F.round("a", 2).alias("x")), "x", 5)
+    return scaling.natural_breaks(v.scores.select(F.col("a").alias("x")), "x", 5)
 
 
 @query("agg_29_summary", "SELECT cap, round(avg(a), 6) AS mean, round(median(a), 6) AS median, round(stddev_samp(a), 6) AS sd, round(min(a), 6) AS lo, round(max(a), 6) AS hi FROM scores GROUP BY cap")

@@ -77,3 +77,17 @@ def test_joins_keep_all_places_and_members(spark, small):
     held = {z.zone_id: [o.node_id for o in origins if o.zone == z.zone_id and z.south <= o.lat < z.north and z.west <= o.lon < z.east] for z in zones}
     got = {r.zone_id: (r.n, r.some) for r in QUERIES["jn_19_fragments_in_shape"](spark, small).collect()}
     assert got == {z: (len(ids), ",".join(map(str, sorted(ids)))) for z, ids in held.items() if ids} and any(i > 50 for ids in held.values() for i in ids)
+
+
+def test_statistics_keep_all_cells_and_values(spark, small):
+    zones, values = {}, []
+    for r in Views(spark, small).scores.collect():
+        zones.setdefault(r.hex_id % 37, []).append((-round(abs(r.b - r.a) * 100, 9), r.hex_id))
+        values.append(r.a)
+    got = {r.zone: (r.worst, r["mean"], r["at"], r.verdict) for r in QUERIES["agg_23_verdicts"](spark, small).collect()}
+    assert got.keys() == zones.keys()
+    for z, ds in zones.items():
+        worst, mean = -min(ds)[0], -sum(d for d, _ in ds) / len(ds)
+        assert got[z] == (pytest.approx(worst), pytest.approx(mean), min(ds)[1], "sensitive" if worst >= 20 else "moderate" if worst >= 5 else "robust")
+    breaks = sorted(map(tuple, QUERIES["agg_28_natural_breaks"](spark, small).collect()))
+    assert [b[1] for b in breaks] == sorted(set(values))[: len(breaks)] and len(breaks) == min(5, len(set(values))) and sum(b[2] for b in breaks) == len(values)
