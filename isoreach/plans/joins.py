@@ -284,16 +284,21 @@ ROUTE_SQL = """WITH RECURSIVE e AS (SELECT u, v, min(length_m) AS w FROM edges W
 UNION SELECT walk.src, e.v, walk.d + e.w FROM walk JOIN e ON e.u = walk.node WHERE walk.d + e.w <= {limit}) SELECT src::BIGINT AS src, node::BIGINT AS node, round(min(d), 6) AS dist FROM walk GROUP BY src, node"""
 
 
+def _on_graph(v):
+    """Every origin on its graph node, by the arithmetic that places have; origins on one node share a search."""
+    return v.origins.select("node_id", ((F.col("node_id") * 7) % 200).alias("src"))
+
+
 @query("it_01_bounded_shortest_paths", ROUTE_SQL.format(limit=300))
 def it_01(v):
-    sources = v.spark.createDataFrame([(0,), (17,), (101,)], "src long")
-    return graph.shortest_paths(v.edges, sources, 300.0).select("src", "node", F.round("dist", 6).alias("dist"))
+    sources = _on_graph(v)
+    return graph.shortest_paths(v.edges, sources, 300.0).join(sources, "src").select("node_id", "src", "node", F.round("dist", 6).alias("dist"))
 
 
 @query("it_03_paths")
 def it_03(v):
-    sources = v.spark.createDataFrame([(0,), (17,)], "src long")
-    return graph.shortest_paths(v.edges, sources, 300.0, paths=True).select("src", "node", F.round("dist", 6).alias("dist"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    sources = _on_graph(v)
+    return graph.shortest_paths(v.edges, sources, 300.0, paths=True).join(sources, "src").select("node_id", "src", "node", F.round("dist", 6).alias("dist"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 @query("agg_16_components", "WITH RECURSIVE e AS (SELECT u, v FROM edges WHERE length_m < 70 UNION SELECT v, u FROM edges WHERE length_m < 70), walk(node, c) AS (SELECT u, u FROM e UNION SELECT e.v, walk.c FROM walk JOIN e ON e.u = walk.node) SELECT node, min(c) AS component FROM walk GROUP BY node")
@@ -319,11 +324,11 @@ def it_02(v):
     """Places on their graph nodes, bounded paths from the origins, and minutes on foot with the last gap."""
     from isoreach.operators.decay import impedance
 
-    sources = v.spark.createDataFrame([(0,), (17,), (101,)], "src long")
+    sources = _on_graph(v)
     on_graph = v.pois.select("poi_id", ((F.col("poi_id") * 7) % 200).alias("node"), "gap_p")
-    reached = graph.shortest_paths(v.edges, sources, 300.0).join(on_graph, "node")
+    reached = graph.shortest_paths(v.edges, sources, 300.0).join(on_graph, "node").join(sources, "src")
     walk = impedance("walk", F.col("dist") / 1000, F.lit(0.0), F.col("gap_p"))
-    return reached.select("src", "poi_id", F.round(walk, 6).alias("walk"), (F.col("dist") / 1000 + F.col("gap_p") <= 0.25).alias("in_radius"))
+    return reached.select("node_id", "src", "poi_id", F.round(walk, 6).alias("walk"), (F.col("dist") / 1000 + F.col("gap_p") <= 0.25).alias("in_radius"))
 
 
 @query("it_06_convex_hull")

@@ -19,6 +19,7 @@ def small(spark, tmp_path_factory):
     put("supplier", [(i, i % 25, 100.0) for i in SUPPLIERS], "s_suppkey long, s_nationkey int, s_acctbal double")
     put("part", [(i, "a b", "T", f"Brand#{i}", i % 50) for i in PARTS], "p_partkey long, p_name string, p_type string, p_brand string, p_size int")
     put("nation", [(i, f"n{i}", i % 5) for i in range(25)], "n_nationkey int, n_name string, n_regionkey int")
+    put("orders", [(97 * i + i % 7, i % 13, 1.0) for i in range(700)], "o_orderkey long, o_custkey long, o_totalprice double")
     return at
 
 
@@ -91,3 +92,29 @@ def test_statistics_keep_all_cells_and_values(spark, small):
         assert got[z] == (pytest.approx(worst), pytest.approx(mean), min(ds)[1], "sensitive" if worst >= 20 else "moderate" if worst >= 5 else "robust")
     breaks = sorted(map(tuple, QUERIES["agg_28_natural_breaks"](spark, small).collect()))
     assert [b[1] for b in breaks] == sorted(set(values))[: len(breaks)] and len(breaks) == min(5, len(set(values))) and sum(b[2] for b in breaks) == len(values)
+
+
+def test_paths_start_at_all_origins(spark, small):
+    v = Views(spark, small)
+    length = {}
+    for e in v.edges.collect():
+        if e.u != e.v:
+            length[e.u, e.v] = min(e.length_m, length.get((e.u, e.v), math.inf))
+    want = {}
+    for o in v.origins.collect():
+        best = {o.node_id * 7 % 200: 0.0}
+        for _ in range(7):  # an edge has 50 m at least
+            for (a, b), x in length.items():
+                if a in best and best[a] + x <= 300:
+                    best[b] = min(best.get(b, math.inf), best[a] + x)
+        want |= {(o.node_id, n): d for n, d in best.items()}
+    got = {(r.node_id, r.node): r.dist for r in QUERIES["it_01_bounded_shortest_paths"](spark, small).collect()}
+    assert got == want and {k for k, _ in got} == set(CUSTOMERS) and len(got) > 3 * len(CUSTOMERS)
+    paths = QUERIES["it_03_paths"](spark, small).collect()
+    assert {(r.node_id, r.node): r.dist for r in paths} == want
+    for r in paths:
+        way = [int(x) for x in r.path.split(">")]
+        assert (way[0], way[-1]) == (r.node_id * 7 % 200, r.node) and sum(length[x] for x in zip(way, way[1:])) == r.dist
+    walked = {(r.node_id, r.poi_id): (r.walk, r.in_radius) for r in QUERIES["it_02_walk_step"](spark, small).collect()}
+    steps = {(o, p.poi_id): d / 1000 + p.gap_p for (o, n), d in want.items() for p in v.pois.collect() if p.poi_id * 7 % 200 == n}
+    assert walked == {k: (pytest.approx(km / 5 * 60, abs=1e-6), km <= 0.25) for k, km in steps.items()}
