@@ -5,7 +5,7 @@ the script in at least SCRIPT_SHARE of their training letters; a word in a scrip
 says nothing. Each candidate scores the word by the log-probabilities of its hashed character 1- to
 3-grams with word ends. Viterbi with a fixed penalty for a change of language labels every word, and
 runs of equal labels are the spans of a mixed text. The prediction is the language with most letters and
-the score its share of all letters.
+the score its share of all letters; letters of words in a script of no learned language count for none.
 """
 
 from __future__ import annotations
@@ -207,7 +207,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH) -> DataFrame:
     """doc_id, lang (``und`` without a letter or a model), score, spans (start, end in code points, lang) for every row.
 
-    Spans run from their first word's first letter to their last word's last letter. Null and empty texts
+    Spans run from their first word's first letter to their last word's last letter; words in a script of
+    no learned language are ``und`` there, and a text of such words alone has the score 0. Null and empty texts
     have no span and the score 0. Only the text decides; other columns are ignored. Repeated rows stay.
     """
     spark = docs.sparkSession
@@ -278,12 +279,14 @@ def _spans(m: Model, group: list, penalty: float) -> pa.RecordBatch:
         label = viterbi(np.concatenate([s for *_, s in group]), np.bincount(text, minlength=n_texts), penalty).astype(np.int64)
     else:
         label, text = np.zeros(0, np.int64), text[:0]
-    share = np.bincount(text * L + label, letters[: len(text)], n_texts * L).reshape(n_texts, L)
-    total = share.sum(1)
+    told = np.concatenate([m.admits[w.script].any(1) for _, w, _ in group])[: len(text)]  # words in a script of some learned language
+    share = np.bincount(text * L + label, letters[: len(text)] * told, n_texts * L).reshape(n_texts, L)
+    total = np.bincount(text, letters[: len(text)], n_texts)
     best = share.argmax(1)
     names = np.array([*m.languages, "und"], object)
     lang = np.where(total > 0, best, len(m.languages))
     score = np.where(total > 0, share[np.arange(n_texts), best] / np.maximum(total, 1), 0.0)
+    label = np.where(told, label, len(m.languages))
     new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))
     last = np.append(new[1:], len(text))[: len(new)] - 1
     spans = pa.StructArray.from_arrays([pa.array(begin[new].astype(np.int32)), pa.array(end[last].astype(np.int32)), pa.array(names[label[new]], pa.string())], names=["start", "end", "lang"])
