@@ -107,7 +107,7 @@ class Finder:
         if not len(self.automaton):
             return []
         found: dict[int, tuple[int, int]] = {}
-        done: dict[int, int] = {}  # windows up to here are verified
+        done: dict[int, set[int]] = {}  # the begins of the windows that are verified; all windows of an item are equally long
         for end, (n, who) in self.automaton.iter(text):
             for item_id, at in who:
                 pattern, k, peq = self.items[item_id]
@@ -115,9 +115,10 @@ class Finder:
                     continue
                 begin = end + 1 - n - at - k
                 stop = begin + len(pattern) + 2 * k
-                if done.get(item_id, -1) >= stop:
+                tried = done.setdefault(item_id, set())
+                if begin in tried:
                     continue
-                done[item_id] = stop
+                tried.add(begin)
                 lo = max(0, begin)
                 hit = myers(pattern, text[lo : max(0, stop)], k, peq)
                 if hit and hit[0] < found.get(item_id, (k + 1, 0))[0]:

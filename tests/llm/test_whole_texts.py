@@ -1,6 +1,26 @@
 """Texts that a shortcut of a search would lose, against brute force."""
 
-from isoreach.llm import langid
+import random
+
+from isoreach.llm import decontaminate, langid
+from test_matching import edits_within
+
+
+def test_repeated_phrases_of_an_item_are_found():
+    item = "red fox ran by red fox ran on over the cold hill at dawn yes"
+    text = "a long day bad fox ran my red fox ran on over the cold hill at dawn yes and more"
+    assert [(i, e) for i, e, _ in decontaminate.Finder([(7, item)]).find(text)] == [(7, 3)] and edits_within(item, text) == 3
+    rng = random.Random(5)
+    for _ in range(300):
+        phrases = [" ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 5))) for _ in range(4)) for _ in range(2)]
+        item = decontaminate.normal(" ".join(rng.choice(phrases) for _ in range(rng.randint(3, 6))))
+        k, _ = decontaminate.pieces_of(item)
+        t = list(item)
+        for _ in range(rng.randint(0, k)):
+            t[rng.randrange(len(t) // 2)] = rng.choice("hijk")
+        text = "words before " + "".join(t) + " words after"
+        least = edits_within(item, text)
+        assert least <= k and [(i, e) for i, e, _ in decontaminate.Finder([(1, item)]).find(text)] == [(1, least)]
 
 
 def test_an_unlearned_script_has_no_language(spark):
