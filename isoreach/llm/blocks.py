@@ -10,6 +10,16 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POS = 4096
 _POWERS = np.cumprod(np.full(_POS, np.uint64(0x100000001B3), dtype=np.uint64))
+
+
+def powers_at(pos: np.ndarray) -> np.ndarray:
+    """A 64-bit factor for each place of a byte in its word, the next places of a long word too."""
+    if not len(pos) or pos.max() < _POS:
+        return _POWERS[pos]
+    with np.errstate(over="ignore"):
+        return np.where(pos < _POS, _POWERS[pos % _POS], mix(pos.astype(np.uint64)) | np.uint64(1))
+
+
 #: ASCII letters and digits and all bytes of longer UTF-8 sequences belong to words.
 WORD_BYTE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 
@@ -86,7 +96,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     pos = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(offsets, n)
     at = pos + np.repeat(starts, n)
     with np.errstate(over="ignore"):
-        return mix(np.add.reduceat((buf[at].astype(np.uint64) + np.uint64(1)) * _POWERS[pos % _POS], offsets) ^ (n.astype(np.uint64) << np.uint64(48)))
+        return mix(np.add.reduceat((buf[at].astype(np.uint64) + np.uint64(1)) * powers_at(pos), offsets) ^ (n.astype(np.uint64) << np.uint64(48)))
 
 
 def lowered(texts: list) -> list[bytes]:

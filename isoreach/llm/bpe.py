@@ -7,10 +7,11 @@ white space, so a text cut there encodes piece by piece:
 - before "." or "," after an ASCII letter,
 - before a line end after a graphic ASCII character, and after a single line end between two of them.
 
-Pieces are hashed in blocks of texts with numpy (64 bits, and the length is compared); the library sees
-each distinct piece once and a table keeps its ids, up to a number of pieces, then starts anew. One
-lookup meets a wrong piece of the same length with a chance of about 5e-14. A text that holds an added
-token's string goes to the library whole. Files with a normalizer or another pre-tokenizer are refused.
+Pieces are hashed in blocks of texts with numpy (64 bits); the library sees each distinct piece once and
+a table keeps its bytes and ids, up to a number of pieces and bytes, then starts anew. Every lookup
+compares the bytes; a piece whose hash belongs to another one goes to the library by itself. A text that
+holds an added token's string goes to the library whole. Files with a normalizer or another
+pre-tokenizer are refused.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ import os
 
 import numpy as np
 
-from isoreach.llm.blocks import _POS, _POWERS, mix
+from isoreach.llm.blocks import mix, powers_at
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 TABLE_PIECES = 1 << 20
+TABLE_BYTES = 64 << 20
 HASH_BYTES = 1 << 20
 _GRAPHIC = np.array([33 <= b <= 126 for b in range(256)])
 #: Graphic ASCII, or the first byte of a two-byte letter; U+0080 to U+00BF (C2) holds white space.
@@ -51,24 +53,34 @@ def piece_starts(buf: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
 
 
 def piece_hashes(buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each piece, never 0."""
-    h = np.zeros(len(starts), np.uint64)
-    ends = starts + size
-    a = 0
-    while a < len(starts):  # a few bytes of memory for each byte, so some bytes at a time
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + HASH_BYTES, side="right")))
-        lo, hi = int(starts[a]), int(ends[b - 1])
-        own = (starts[a:b] - lo).astype(np.int32)
-        pos = np.arange(hi - lo, dtype=np.int32) - np.repeat(own, size[a:b])
-        if pos.max() >= _POS:
-            pos %= _POS
-        with np.errstate(over="ignore"):
-            h[a:b] = mix(np.add.reduceat((buf[lo:hi] + np.uint64(1)) * _POWERS[pos], own))
-        a = b
+    """A 64-bit hash of each piece, never 0. Pieces lie end to end and cover the buffer."""
+    h = size.astype(np.uint64) << np.uint64(40)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(buf), HASH_BYTES):  # a few bytes of memory for each byte, so some bytes at a time
+            hi = min(len(buf), lo + HASH_BYTES)
+            a, b = int(np.searchsorted(starts, lo, side="right")) - 1, int(np.searchsorted(starts, hi))
+            edge = np.append(np.maximum(starts[a:b], lo), hi)
+            pos = np.arange(hi - lo, dtype=np.int32) - np.repeat((starts[a:b] - lo).astype(np.int32), np.diff(edge))
+            h[a:b] += np.add.reduceat((buf[lo:hi] + np.uint64(1)) * powers_at(pos), edge[:-1] - lo)
+    h = mix(h)
     h[h == 0] = 1
     return h
 
 
+def same_bytes(buf: np.ndarray, at: np.ndarray, other: np.ndarray, other_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether buf[at : at + size] equals other[other_at : other_at + size], for each of some non-empty pieces."""
+    out = np.ones(len(size), bool)
+    ends = np.cumsum(size)
+    k = 0
+    while k < len(size):
+        to = max(k + 1, int(np.searchsorted(ends, ends[k] - size[k] + HASH_BYTES, side="right")))
+        differ = buf[ragged(at[k:to], size[k:to])] != other[ragged(other_at[k:to], size[k:to])]
+        if differ.any():
+            out[k:to] = ~np.logical_or.reduceat(differ, ends[k:to] - size[k:to] - (ends[k] - size[k]))
+        k = to
+    return out
+
+
 class Codec:
     """One tokenizer file."""
 
@@ -108,7 +120,8 @@ class Codec:
         self.slots = 1 << (4 * max(TABLE_PIECES, least) - 1).bit_length()
         self.key = np.zeros(self.slots, np.uint64)  # 0: free
         self.entry = np.zeros(self.slots, np.int32)
-        self.piece_len = np.zeros(1 << 12, np.int32)
+        self.piece_len, self.piece_at = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.bytes, self.held = np.zeros(1 << 14, np.uint8), 0
         self.at = np.zeros(1 << 12, np.int64)
         self.n = np.zeros(1 << 12, np.int32)
         self.flat = np.zeros(1 << 14, self.dtype)
@@ -146,27 +159,29 @@ class Codec:
             ids, n = np.concatenate([ids, *more]), np.concatenate([n, np.fromiter(map(len, more), np.int64, len(more))])
         return np.array(plain + rest, np.int64), ids, n
 
-    def _find(self, h: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Table entries by hash and length; -1: none."""
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Table entries by hash; -1: none."""
         found = np.full(len(h), -1, np.int32)
         todo = np.arange(len(h))
         slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
         while len(todo):
             key = self.key[slot]
             hit = key == h[todo]
-            if hit.any():
-                e = self.entry[slot[hit]]
-                found[todo[hit]] = np.where(self.piece_len[e] == size[todo[hit]], e, -2)
+            found[todo[hit]] = self.entry[slot[hit]]
             on = ~hit & (key != 0)
             todo, slot = todo[on], (slot[on] + 1) & (self.slots - 1)
         return found
 
-    def _add(self, h: np.ndarray, size: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
-        new = len(h)
-        self.piece_len, self.at, self.n = (_room(a, self.entries + new) for a in (self.piece_len, self.at, self.n))
+    def _add(self, h: np.ndarray, pieces: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
+        new, more = len(h), np.frombuffer(b"".join(pieces), np.uint8)
+        self.piece_len, self.piece_at, self.at, self.n = (_room(a, self.entries + new) for a in (self.piece_len, self.piece_at, self.at, self.n))
         self.flat = _room(self.flat, self.filled + int(n.sum()))
+        self.bytes = _room(self.bytes, self.held + len(more))
         own = slice(self.entries, self.entries + new)
+        size = np.fromiter(map(len, pieces), np.int64, new)
         self.piece_len[own], self.n[own] = size, n
+        self.piece_at[own] = self.held + np.cumsum(size) - size
+        self.bytes[self.held : self.held + len(more)] = more
         self.at[own] = self.filled + np.cumsum(n) - n
         self.flat[self.filled : self.filled + len(ids)] = ids
         entry = np.arange(self.entries, self.entries + new, dtype=np.int32)
@@ -179,6 +194,7 @@ class Codec:
             todo, slot = todo[~won], (slot[~won] + 1) & (self.slots - 1)
         self.entries += new
         self.filled += int(n.sum())
+        self.held += len(more)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, their number by text), for UTF-8 texts."""
@@ -199,25 +215,27 @@ class Codec:
         starts = piece_starts(buf, begin[sizes > 0])
         size = np.diff(starts, append=len(buf))
         h = piece_hashes(buf, starts, size)
-        if self.entries > TABLE_PIECES or self.entries + len(starts) > self.slots // 2:
+        if self.entries > TABLE_PIECES or self.held > TABLE_BYTES or self.entries + len(starts) > self.slots // 2:
             self._empty(len(starts))
-        e = self._find(h, size)
+        e = self._find(h)
         miss = np.flatnonzero(e < 0)
-        odd: dict[int, np.ndarray] = {}
         if len(miss):
-            new = miss[e[miss] == -1]
-            u, first = np.unique(h[new], return_index=True)
-            at = new[first]
-            order, got, k = self.distinct([raw[a : a + b] for a, b in zip(starts[at].tolist(), size[at].tolist())])
-            self._add(u[order], size[at[order]], got, k)
-            e[miss] = self._find(h[miss], size[miss])
-            clash = np.flatnonzero(e < 0)  # equal hashes of unequal lengths
-            for i in clash.tolist():
-                odd[i] = self.whole([raw[starts[i] : starts[i] + size[i]].decode("utf-8", "replace")])[0]
-        n = np.where(e >= 0, self.n[e], 0).astype(np.int64)
-        if odd:
+            u, first = np.unique(h[miss], return_index=True)
+            at = miss[first]
+            pieces = [raw[a : a + b] for a, b in zip(starts[at].tolist(), size[at].tolist())]
+            order, got, k = self.distinct(pieces)
+            self._add(u[order], [pieces[i] for i in order.tolist()], got, k)
+            e[miss] = self._find(h[miss])
+        same = self.piece_len[e] == size
+        same[same] = same_bytes(buf, starts[same], self.bytes, self.piece_at[e[same]], size[same])
+        n = self.n[e].astype(np.int64)
+        clash = np.flatnonzero(~same)  # another piece has the hash
+        if len(clash):
+            words = [raw[starts[i] : starts[i] + size[i]] for i in clash.tolist()]
+            known = dict(zip(d := sorted(set(words)), self.whole([w.decode("utf-8", "replace") for w in d])))
+            odd = {i: known[w] for i, w in zip(clash.tolist(), words)}
             ids = np.concatenate([odd[i] if i in odd else self.flat[self.at[k] : self.at[k] + self.n[k]] for i, k in enumerate(e.tolist())])
-            n[list(odd)] = [len(x) for x in odd.values()]
+            n[clash] = [len(odd[i]) for i in clash.tolist()]
         else:
             ids = self.flat[ragged(self.at[e], n)]
         total = np.concatenate([[0], np.cumsum(n)])

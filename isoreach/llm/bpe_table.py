@@ -8,10 +8,11 @@
 3. A chunk meets its lists again, and the ids and the decoded bytes are put where their pieces stood.
 
 What is shuffled is the texts once, compressed, and each distinct piece of a chunk once each way, not
-every word. Pieces are told apart by 64-bit hashes, and the decoded bytes are compared with the text's,
-so a clash of hashes would stop the job rather than change a result. The number of buckets follows the number of chunks, so a bucket's table stays the same
-size on any input; a frequent word is one entry in each chunk. A text over the chunk size is a chunk
-of its own.
+every word. Pieces are told apart by their bytes: hashes only find the candidates, and two pieces of a
+chunk that share a hash are two entries. The number of buckets follows the number of chunks, so a
+bucket's table stays the same size on any input; a frequent word is one entry in each chunk. Rows are
+dealt to chunks by id and text, so a hot or null id is spread over all chunks, and equal rows are sent
+once for each BATCH_BYTES that they are read in.
 """
 
 from __future__ import annotations
@@ -22,16 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from isoreach.llm.blocks import tidy, trim
-from isoreach.llm.bpe import Codec, piece_hashes, piece_starts, ragged
+from isoreach.llm.bpe import Codec, piece_hashes, piece_starts, ragged, same_bytes
 
 CHUNK_BYTES = 8 << 20
 BATCH_BYTES = 16 << 20
 
 
 class _Pieces:
-    """The pieces of some texts: their places, which distinct piece each is, and the distinct ones by (bucket, hash)."""
+    """The pieces of some texts: their places, which distinct piece each is, and the distinct ones by (bucket, hash, bytes)."""
 
     def __init__(self, codec: Codec, texts: list[bytes], buckets: int):
         self.raw = raw = b"".join(texts)
@@ -45,11 +47,27 @@ class _Pieces:
         self.size = np.diff(starts, append=len(buf))
         self.of_text = np.diff(np.searchsorted(starts, np.append(begin, len(raw))))
         h = piece_hashes(buf, starts, self.size) if raw else np.zeros(0, np.uint64)
-        h, first, self.which = np.unique(h, return_index=True, return_inverse=True)
+        u, first, self.which = np.unique(h, return_index=True, return_inverse=True)
+        if raw and not self._agree(buf, starts, first).all():
+            order = sorted(range(len(h)), key=lambda i: (h[i], raw[starts[i] : starts[i] + self.size[i]]))  # two pieces of one hash
+            word = lambda i: raw[starts[i] : starts[i] + self.size[i]]
+            new = np.array([k == 0 or h[i] != h[order[k - 1]] or word(i) != word(order[k - 1]) for k, i in enumerate(order)])
+            first = np.array(order)[new]
+            self.which = np.empty(len(h), np.int64)
+            self.which[order] = np.cumsum(new) - 1
+            u = h[first]
+        h = u
         self.bucket = (h % np.uint64(buckets)).astype(np.int64)
         self.order = np.argsort(self.bucket, kind="stable")
         self.at, self.n = starts[first], self.size[first]
 
+    def _agree(self, buf: np.ndarray, starts: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether each piece has the bytes of the first one of its hash."""
+        rep = first[self.which]
+        same = self.size == self.size[rep]
+        same[same] = same_bytes(buf, starts[same], buf, starts[rep[same]], self.size[same])
+        return same
+
     def forget(self) -> None:
         """What only the lists need goes, before the texts are put together."""
         self.order = self.bucket = self.at = self.size = None
@@ -87,12 +105,14 @@ def _read_chunk(blob: bytes) -> pa.RecordBatch:
 
 
 def _by_chunk(held: list[pa.RecordBatch]):
+    """Rows by chunk as compressed Arrow streams; rows of equal id and text are one row with their number."""
     if not held:
         return
     rows = pa.Table.from_batches(held)
-    of = rows.column(2).to_numpy()
+    rows = rows.group_by(["doc_id", "text", "chunk"], use_threads=False).aggregate([([], "count_all")]).select(["doc_id", "text", "count_all", "chunk"])
+    of = rows.column(3).to_numpy()
     for c in np.unique(of).tolist():
-        part = rows.filter(pa.array(of == c)).select([0, 1]).combine_chunks()
+        part = rows.filter(pa.array(of == c)).select([0, 1, 2]).combine_chunks()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(part)
@@ -181,15 +201,15 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         decoded = shown[ragged(shown_at[p.which], shown_n[p.which])]
         edges = np.concatenate([[0], np.cumsum(p.of_text)])
         by_text = lambda n: np.concatenate([[0], np.cumsum(n[p.which])])[edges].astype(np.int32)
-        if not np.array_equal(decoded, np.frombuffer(p.raw, np.uint8)):
-            raise ValueError("decoded bytes differ from the text: two pieces of one hash")
         text = pa.Array.from_buffers(pa.string(), len(p.of_text), [None, pa.py_buffer(by_text(shown_n)), pa.py_buffer(decoded)])
         doc_ids = pa.chunked_array([b.column(0) for b in batches], type=batches[0].column(0).type if batches else left_type)
+        times = pa.chunked_array([b.column(2) for b in batches], type=pa.int64())
         trim()
-        return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(by_text(count)), pa.array(ids.astype(np.int32))), "decoded": text})
+        return pa.table({"doc_id": doc_ids, "times": times, "ids": pa.ListArray.from_arrays(pa.array(by_text(count)), pa.array(ids.astype(np.int32))), "decoded": text})
 
-    left_type = pa.int64() if kind == "bigint" else pa.string()
-    parts = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).mapInArrow(tidy(packed), "chunk long, docs binary").repartition("chunk")
+    left_type = to_arrow_type(docs.schema[id_col].dataType)
+    parts = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).mapInArrow(tidy(packed), "chunk long, docs binary").repartition("chunk")
     lists = parts.groupBy("chunk").applyInArrow(listed, "chunk long, bucket long, words binary")
     coded = lists.groupBy("bucket").applyInArrow(encoded, "chunk long, bucket long, ids binary")
-    return parts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(joined, f"doc_id {kind}, ids array<int>, decoded string")
+    out = parts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(joined, f"doc_id {kind}, times long, ids array<int>, decoded string")
+    return out.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times")

@@ -45,6 +45,29 @@ def test_a_full_table_starts_anew(codec, monkeypatch):
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [expected(codec, t) for t in texts]
 
 
+def test_long_words_keep_their_order(codec):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["a" * 4096 + "b" * 4096, "b" * 4096 + "a" * 4096, "日" * 1400 + "本" * 1400, "本" * 1400 + "日" * 1400]
+    texts += ["".join(rng.choice(letters) for _ in range(n)) for n in (10_000, 1 << 20)] + ["語" * 5000 + "学" * 5000]
+    texts += [" x " + t[len(t) // 2 :] + t[: len(t) // 2] for t in texts]
+    ids, n = codec.encode([t.encode() for t in texts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [expected(codec, t) for t in texts]
+
+
+def test_equal_hashes_change_nothing(spark, codec, monkeypatch):
+    few = lambda buf, starts, size: (buf[starts].astype(np.uint64) % np.uint64(5)) + np.uint64(1)
+    monkeypatch.setattr("isoreach.llm.bpe.piece_hashes", few)
+    monkeypatch.setattr("isoreach.llm.bpe_table.piece_hashes", few)
+    held = Codec(tokenizer_path())
+    for texts in (["one two three two", "four, one. two"], ["two one", "seven eight", "", "one"]):
+        ids, n = held.encode([t.encode() for t in texts])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])][: len(texts)] == [expected(codec, t) for t in texts]
+    p = bpe_table._Pieces(held, [b"one two three two", b"four two one"], 3)
+    words = [p.raw[a : a + k] for a, k in zip(p.at.tolist(), p.n.tolist())]
+    assert sorted(words) == [b" one", b" three", b" two", b"four", b"one"] and b"".join(words[i] for i in p.which) == p.raw
+
+
 def test_other_tokenizers_are_refused():
     import public_tokenizers
 
@@ -59,6 +82,8 @@ def docs_of(spark, texts):
 def test_table_encodes_and_decodes_every_row(spark, codec):
     out = bpe_table.encode_decode(docs_of(spark, ODD), tokenizer_path(), chunk_bytes=4000).collect()
     want = sorted((str(None if i == 5 else i), expected(codec, t), codec.library.decode(expected(codec, t), skip_special_tokens=False)) for i, t in enumerate(ODD))
+    twice = docs_of(spark, ODD).unionByName(docs_of(spark, ODD))
+    assert sorted((str(r.doc_id), list(r.ids), r.decoded) for r in bpe_table.encode_decode(twice.coalesce(1), tokenizer_path(), chunk_bytes=4000).collect()) == sorted(want + want)
     assert sorted((str(r.doc_id), list(r.ids), r.decoded) for r in out) == want
     empty = docs_of(spark, ODD).limit(0)
     assert bpe_table.encode_decode(empty, tokenizer_path()).collect() == []
