@@ -3,10 +3,10 @@
 Texts are compared as lower-case words with single spaces. A test item of length n may differ by a
 budget of k = floor(n * ERROR_RATE) edits; cut into k + 1 pieces, at least one piece of any such
 occurrence is untouched (pigeonhole). An Aho-Corasick automaton over all pieces finds piece hits in one
-pass over a document, and each hit's window is verified with Myers' bit-parallel distance. Documents
-stay where they are: nothing is shuffled, and a passage that a third of all documents hold costs each
-of them only its own verification. Items go out in blocks of bounded size, one pass over the
-documents for each block.
+pass over a document, and each hit's window is verified with Myers' bit-parallel distance. Items under
+LEAST_CHARS characters have no budget and must stand as whole words. Documents stay where they are:
+nothing is shuffled, and a passage that a third of all documents hold costs each of them only its own
+verification. Items go out in blocks of bounded size, one pass over the documents for each block.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from isoreach.llm.blocks import blocks, tidy
 
 ERROR_RATE = 0.08
-#: Shorter items are phrases of everyday text and are not searched for.
+#: Shorter items are phrases of everyday text.
 LEAST_CHARS = 24
-LEAST_PIECE = 12
 BLOCK_BYTES = 4 << 20
 _WORD = re.compile(r"[^\W_]+")
 
@@ -33,8 +33,8 @@ def normal(text: str | None) -> str:
 
 
 def pieces_of(item: str, rate: float = ERROR_RATE) -> tuple[int, list[tuple[int, str]]]:
-    """(budget, (offset, piece) by offset): budget + 1 pieces of nearly equal length; the budget falls until pieces have LEAST_PIECE characters."""
-    k = min(int(len(item) * rate), max(0, len(item) // LEAST_PIECE - 1))
+    """(budget, (offset, piece) by offset): budget + 1 pieces of nearly equal length, no more than there are characters."""
+    k = min(int(len(item) * rate), len(item) - 1) if len(item) >= LEAST_CHARS else 0
     edges = [len(item) * i // (k + 1) for i in range(k + 2)]
     return k, [(a, item[a:b]) for a, b in zip(edges, edges[1:])]
 
@@ -82,20 +82,22 @@ def myers(pattern: str, text: str, limit: int, peq: dict[str, int] | None = None
 
 
 class Finder:
-    """An automaton over the pieces of some items (id, text)."""
+    """An automaton over the pieces of some items; an item goes by its place among them."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
+    def __init__(self, items: list[str | None], rate: float = ERROR_RATE):
         import ahocorasick
 
         self.items, owners = {}, {}
-        for item_id, text in items:
+        for i, text in enumerate(items):
             t = normal(text)
-            if len(t) < LEAST_CHARS:
+            if not t:
                 continue
             k, parts = pieces_of(t, rate)
-            self.items[item_id] = (t, k, masks(t))
+            self.items[i] = (t, k, masks(t))
+            if len(t) < LEAST_CHARS:
+                parts = [(-1, f" {t} ")]  # whole words
             for at, p in parts:
-                owners.setdefault(p, []).append((item_id, at))
+                owners.setdefault(p, []).append((i, at))
         self.automaton = ahocorasick.Automaton()
         for p, who in owners.items():
             self.automaton.add_word(p, (len(p), who))
@@ -108,28 +110,32 @@ class Finder:
             return []
         found: dict[int, tuple[int, int]] = {}
         done: dict[int, set[int]] = {}  # the begins of the windows that are verified; all windows of an item are equally long
-        for end, (n, who) in self.automaton.iter(text):
-            for item_id, at in who:
-                pattern, k, peq = self.items[item_id]
-                if found.get(item_id, (1, 0))[0] == 0:
+        for end, (n, who) in self.automaton.iter(f" {text} "):  # places are one more than in the text, so ``end`` is exclusive there
+            for item, at in who:
+                pattern, k, peq = self.items[item]
+                if found.get(item, (1, 0))[0] == 0:
+                    continue
+                whole = end - n - at  # where the item begins if nothing before the piece is edited
+                if whole >= 0 and text.startswith(pattern, whole) and len(pattern) >= LEAST_CHARS or at < 0:
+                    found[item] = (0, whole + len(pattern))
                     continue
-                begin = end + 1 - n - at - k
-                stop = begin + len(pattern) + 2 * k
-                tried = done.setdefault(item_id, set())
-                if begin in tried:
+                tried = done.setdefault(item, set())
+                if whole in tried:
                     continue
-                tried.add(begin)
-                lo = max(0, begin)
-                hit = myers(pattern, text[lo : max(0, stop)], k, peq)
-                if hit and hit[0] < found.get(item_id, (k + 1, 0))[0]:
-                    found[item_id] = (hit[0], lo + hit[1])
+                tried.add(whole)
+                lo = max(0, whole - k)
+                hit = myers(pattern, text[lo : max(0, whole + len(pattern) + k)], k, peq)
+                if hit and hit[0] < found.get(item, (k + 1, 0))[0]:
+                    found[item] = (hit[0], lo + hit[1])
         return [(i, *found[i]) for i in sorted(found)]
 
 
-def item_blocks(items: DataFrame, item_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_BYTES):
-    """The items (id, text) in lists of about ``limit`` bytes; null texts and ids are left out."""
+def item_blocks(items: DataFrame, item_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_BYTES, least_chars: int = 0):
+    """The distinct items (id, text) in lists of about ``limit`` bytes; without null texts and normal texts under ``least_chars`` characters or without a word."""
     held, size = [], 0
-    for r in items.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
+    for r in items.select(F.col(f"`{item_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).where("t is not null").distinct().orderBy("i", "t").toLocalIterator():
+        if len(normal(r.t)) < max(1, least_chars):
+            continue
         held.append((r.i, r.t))
         size += len(r.t.encode())
         if size >= limit:
@@ -139,22 +145,25 @@ def item_blocks(items: DataFrame, item_col: str = "item_id", text_col: str = "te
         yield held
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE, item_col: str = "item_id") -> DataFrame:
     """doc_id, item_id, edits, end for each item that a row's text holds within its budget; ``end`` counts characters of the normal text.
 
     Rows whose text is null, empty or clean give nothing; repeated rows give their hits again; rows with
-    a null id keep it. An empty table on either side gives no rows. Of an item id that repeats with
-    several texts in a block the last counts. Other columns are ignored.
+    a null id keep it. An empty table on either side gives no rows. Each distinct (id, text) of the items
+    is searched for by itself, so an id that repeats with several texts or is null may give several rows,
+    and item rows that repeat give one. Items without a word are nowhere. Other columns are ignored.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, edits int, end int"
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType
+    schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, edits int, end int"
+    item_type = to_arrow_type(item_kind)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     out = None
-    for held in item_blocks(items):
+    for held in item_blocks(items, item_col):
         sent = docs.sparkSession.sparkContext.broadcast((held, rate))  # BLOCK_BYTES at most, and one item
 
         def searched(batches, sent=sent):
-            finder = Finder(*sent.value)
+            items, rate = sent.value
+            finder = Finder([t for _, t in items], rate)
             for batch in batches:
                 for part in blocks(batch):
                     at, hits = [], []
@@ -162,20 +171,25 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                         for h in finder.find(normal(text)):
                             at.append(i)
                             hits.append(h)
-                    cols = list(zip(*hits)) or [(), (), ()]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32())))], names=["doc_id", "item_id", "edits", "end"])
+                    who, edits, ends = list(zip(*hits)) or [(), (), ()]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array([items[k][0] for k in who], item_type), pa.array(edits, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "item_id", "edits", "end"])
 
         own = rows.mapInArrow(tidy(searched), schema)
         out = own if out is None else out.unionByName(own)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
-    """The rows whose text holds no item within its budget; null and empty texts stay, all columns as they are. Nothing is shuffled."""
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """The rows whose text holds no item within its budget; null and empty texts stay, all columns as they are. Nothing is shuffled.
+
+    Items under ``least_chars`` characters remove nothing, since a clean text may hold so short a phrase;
+    ``contaminated`` reports them. Ids of the items, null or repeated, play no part. Repeated rows are
+    judged alike, an empty table of items removes nothing.
+    """
     out = docs
     at_text = docs.columns.index(text_col)
-    for held in item_blocks(items):
-        sent = docs.sparkSession.sparkContext.broadcast((held, rate))  # BLOCK_BYTES at most, and one item
+    for held in item_blocks(items, least_chars=least_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(([t for _, t in held], rate))  # BLOCK_BYTES at most, and one item
         out = out.mapInArrow(tidy(_cleaning(sent, text_col, at_text)), docs.schema)
     return out
 

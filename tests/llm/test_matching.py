@@ -37,7 +37,7 @@ def test_myers_equals_dynamic_programming():
 def test_edited_passages_are_found_and_others_not(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
-    items = [(i, " ".join(word() for _ in range(40))) for i in range(30)] + [(99, None), (98, "too short"), (None, "x" * 200)]
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(30)] + [(99, None), (98, "too short"), (None, "xyz" * 70)]
     docs, want = [], set()
     for d in range(60):
         body = [word() for _ in range(200)]
@@ -62,9 +62,9 @@ def test_edited_passages_are_found_and_others_not(spark):
 
 
 def test_item_blocks_cover_all_items(spark):
-    bench = spark.createDataFrame([(i, "a" * 50) for i in range(20)], "item_id long, text string")
+    bench = spark.createDataFrame([(i, "a" * 50) for i in range(20)] * 2 + [(7, "?"), (8, None), (None, "b" * 30)], "item_id long, text string")
     held = list(decontaminate.item_blocks(bench, limit=120))
-    assert len(held) > 5 and sorted(i for b in held for i, _ in b) == list(range(20))
+    assert len(held) > 5 and sorted(i for b in held for i, _ in b if i is not None) == list(range(20)) and held[0][0] == (None, "b" * 30)
 
 
 def test_op1_finds_all_whole_passages(spark):

@@ -13,7 +13,7 @@ from test_matching import base_by_force, edits_within
 def test_repeated_phrases_of_an_item_are_found():
     item = "red fox ran by red fox ran on over the cold hill at dawn yes"
     text = "a long day bad fox ran my red fox ran on over the cold hill at dawn yes and more"
-    assert [(i, e) for i, e, _ in decontaminate.Finder([(7, item)]).find(text)] == [(7, 3)] and edits_within(item, text) == 3
+    assert [(i, e) for i, e, _ in decontaminate.Finder([item]).find(text)] == [(0, 3)] and edits_within(item, text) == 3
     rng = random.Random(5)
     for _ in range(300):
         phrases = [" ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 5))) for _ in range(4)) for _ in range(2)]
@@ -24,7 +24,40 @@ def test_repeated_phrases_of_an_item_are_found():
             t[rng.randrange(len(t) // 2)] = rng.choice("hijk")
         text = "words before " + "".join(t) + " words after"
         least = edits_within(item, text)
-        assert least <= k and [(i, e) for i, e, _ in decontaminate.Finder([(1, item)]).find(text)] == [(1, least)]
+        assert least <= k and [(i, e) for i, e, _ in decontaminate.Finder([item]).find(text)] == [(0, least)]
+
+
+def test_all_items_against_all_documents(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 4)))
+    texts = [" ".join(word() for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 8, 10, 14, 20, 30, 40)]
+    piece = "abca bcad dcba "
+    texts += [piece + " ".join(word() for _ in range(12)) + " " + piece, "x" * 23, "x" * 24, "y" * 100, "z " * 75]
+    items = [(None if i % 7 == 3 else i % 5, t) for i, t in enumerate(texts)] + [(0, texts[0]), (3, "?!"), (4, None)]
+    docs = []
+    for d in range(80):
+        t = list(rng.choice(texts))
+        for _ in range(rng.randint(0, max(1, int(len(t) * 0.11)))):
+            k = rng.randrange(len(t))
+            t[k] = rng.choice(["", "q", t[k] + "b"])
+        docs.append((d, " ".join([word() for _ in range(3)] + ["".join(t)] + [word() for _ in range(3)])))
+    docs += [(90, None), (91, ""), (None, texts[9]), (92, "y" * 92 + "q" * 8), (92, "y" * 92 + "q" * 8), (93, "y" * 91 + "q" * 9), (94, "a" + "x" * 23)]
+    want = []
+    for d, text in docs:
+        doc = decontaminate.normal(text)
+        for i, t in set(items):
+            item = decontaminate.normal(t)
+            if 0 < len(item) < decontaminate.LEAST_CHARS:
+                want += [(d, i, 0)] * (f" {item} " in f" {doc} ")
+            elif item and (e := edits_within(item, doc)) <= int(len(item) * decontaminate.ERROR_RATE):
+                want.append((d, i, e))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.edits) for r in decontaminate.contaminated(frame, bench).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 50
+    kept = [r.doc_id for r in decontaminate.without_contaminated(frame, bench, least_chars=0).collect()]
+    assert sorted(map(str, kept)) == sorted(str(d) for d, _ in docs if d not in {x[0] for x in want})
+    named = spark.createDataFrame([("b", texts[11]), ("a", texts[10])], "item_id string, text string")
+    assert {r.item_id for r in decontaminate.contaminated(frame, named).collect()} <= {"a", "b"}
 
 
 def test_an_unlearned_script_has_no_language(spark):
