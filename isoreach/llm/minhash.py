@@ -10,9 +10,13 @@ T log T, and documents with an empty coordinate are thrown again to twice the ra
 Signatures are joined in bands. Documents with equal shingles are one class before that. Within a band
 bucket every document meets one hub, another hub in each band, which is linear in the bucket; pairs are
 verified exactly on their shingles. Buckets that still hold several classes are then compared in
-blocks: by signature, which members may resemble one of another class, and exactly among those. So no
-two classes stay apart that a pair of some band joins, and what is shuffled follows the members, not
-their pairs. Classes are the connected components.
+blocks: by signature, which members may resemble one of another class, and exactly among those. A bucket
+of over HOT_BLOCKS blocks is first parted by every other band of its members, so that only those that
+share two bands meet; what is large even then is compared block by block all the same.
+
+A pair of similarity 0.8 is lost with a chance of about 0.0001 in the bands (0.001 in a bucket that is
+parted), and of about 1e-8 where the signatures say that it cannot pass (MAY_PASS). Classes are the
+connected components.
 """
 
 from __future__ import annotations
@@ -26,14 +30,16 @@ from pyspark.sql import functions as F
 
 from isoreach.functions.shared import through_table
 from isoreach.llm.blocks import blocks, lowered, mix, tidy, unit, word_hashes, words_of
+from isoreach.llm.skew import join_hot
 from isoreach.operators.components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 THRESHOLD = 0.8
-#: Below the threshold by over four standard deviations of an estimate from 120 coordinates.
-MAY_PASS = 0.63
+#: Below the threshold by over six standard deviations of an estimate from 120 coordinates.
+MAY_PASS = 0.56
 BLOCK = 1024
+HOT_BLOCKS = 4
 #: Ids that a Bloom filter is made for, and its bits for each.
 FILTER_IDS, FILTER_BITS = 4_000_000, 10
 SKETCH_BYTES = 4 << 20
@@ -115,7 +121,8 @@ def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
-    """id, k1, k2 (a 128-bit sum that equal shingles share), bands (array of long), sig (a byte for each coordinate), for rows with an id and a word."""
+    """id, th (a hash of the text), k1, k2 (a 128-bit sum that equal shingles share), bands (array of long), sig (a byte for each coordinate) for every row; the last four are null without a word."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def sketched(batches):
         for batch in batches:
@@ -123,6 +130,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
                 texts = part.column(1).to_pylist()
                 doc, element, weight = shingles(texts, width)
                 has = np.bincount(doc, minlength=len(texts)) > 0
+                none = pa.array(~has)
                 with np.errstate(over="ignore"):
                     sums = []
                     for salt in (0x5BD1E995, 0x1B873593):
@@ -131,22 +139,30 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
                         total = np.zeros(len(texts), np.uint64)
                         if len(doc):
                             total[doc[begin]] = np.add.reduceat(e, begin)
-                        sums.append(total[has].view(np.int64))
+                        sums.append(pa.array(total.view(np.int64), mask=~has))
                 sig = dart_signatures(doc, element, weight, len(texts), bands * rows)[has]
                 keys = _band_keys(sig, bands, rows)
                 small = (mix(np.ascontiguousarray(sig).view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
-                n = int(has.sum())
+                at = np.concatenate([[0], np.cumsum(has)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).filter(pa.array(has)), pa.array(sums[0]), pa.array(sums[1]),
-                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1))),
-                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * (bands * rows)), pa.py_buffer(small.tobytes())]),
+                        part.column(0), part.column(2), *sums,
+                        pa.ListArray.from_arrays(pa.array(at * bands), pa.array(keys.reshape(-1)), mask=none),
+                        pa.Array.from_buffers(pa.binary(), len(has), [pa.array(has).buffers()[1], pa.py_buffer(at * (bands * rows)), pa.py_buffer(small.tobytes())]),
                     ],
-                    names=["id", "k1", "k2", "bands", "sig"],
+                    names=["id", "th", "k1", "k2", "bands", "sig"],
                 )
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return chosen.mapInArrow(tidy(sketched), "id long, k1 long, k2 long, bands array<long>, sig binary")
+    return _texts(docs, id_col, text_col).mapInArrow(tidy(sketched), f"id {kind}, th long, k1 long, k2 long, bands array<long>, sig binary")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), _text_hash(text).alias("th"))
+
+
+def _text_hash(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -168,16 +184,17 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _maybe_in(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose id may be among the ``wanted`` ids (distinct): all of these and a few others.
+    """The rows of ``df`` whose id and text hash may be among the ``wanted``: all of these and a few others.
 
-    A Bloom filter of FILTER_BITS bits a wanted id, at most 8 MB, goes to the rows, so their texts are not
-    shuffled. Over FILTER_IDS ids the rows are joined instead.
+    A Bloom filter of FILTER_BITS bits a wanted row, at most 8 MB, goes to the rows, so their texts are not
+    shuffled. Over FILTER_IDS wanted rows the rows are joined instead.
     """
     n = wanted.count()
     if n > FILTER_IDS:
-        return df.join(wanted, "id", "left_semi")
+        w = wanted.select(F.col("id").alias("_i"), F.col("th").alias("_t"))
+        return df.join(w, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left_semi")
     bits = 1 << max(10, (n * FILTER_BITS).bit_length())
-    place = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits))
+    place = lambda k: F.pmod(F.xxhash64("id", "th", F.lit(k)), F.lit(bits))
     words = wanted.select(F.explode(F.array(*map(place, range(4)))).alias("p")).groupBy((F.col("p") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
     held = np.zeros(bits // 64, np.int64)
     if words.num_rows:
@@ -186,12 +203,14 @@ def _maybe_in(df: DataFrame, wanted: DataFrame) -> DataFrame:
     row = df.sparkSession.createDataFrame(pa.table({"bits": pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array(held))}), schema)
     test = F.lit(True)
     for k in range(4):
-        test = test & (F.get("bits", (place(k) / 64).cast("int")).bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id, {k}), {bits}L) % 64 as int))")) != 0)
+        test = test & (F.get("bits", (place(k) / 64).cast("int")).bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id, th, {k}), {bits}L) % 64 as int))")) != 0)
     return df.join(F.broadcast(row), test, "left_semi")  # one row
 
 
-def _lists(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """id, list: six bytes for each shingle of a text and each time that it occurs, ascending; of the wanted ids and maybe others."""
+def _lists(texts: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """rep, list: six bytes for each shingle of a text and each time that it occurs, ascending; of the ``wanted`` (rep)."""
+    kind = texts.schema["id"].dataType.simpleString()
+    chosen = through_table(reps.select("rep", "id", "th").join(wanted, "rep"), "wanted")
 
     def listed(batches):
         for batch in batches:
@@ -205,14 +224,16 @@ def _lists(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 order = np.lexsort((value, doc))
                 edges = np.searchsorted(doc, np.arange(len(t) + 1)).tolist()
                 value = value[order]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_pack(value[x:y]) for x, y in zip(edges, edges[1:])], pa.binary())], names=["id", "list"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([_pack(value[x:y]) for x, y in zip(edges, edges[1:])], pa.binary())], names=["id", "th", "list"])
 
-    return through_table(_maybe_in(texts, wanted).mapInArrow(tidy(listed), "id long, list binary"), "shingle-lists")
+    made = _maybe_in(texts, chosen).mapInArrow(tidy(listed), f"id {kind}, th long, list binary").withColumnsRenamed({"id": "_i", "th": "_t"})
+    named = made.join(chosen, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t"))).select("rep", "list")
+    return through_table(named.dropDuplicates(["rep"]), "shingle-lists")  # rows that repeat
 
 
-def _passing(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+def _passing(pairs: DataFrame, texts: DataFrame, reps: DataFrame, threshold: float, width: int) -> DataFrame:
     """The pairs a, b whose shingles have at least that weighted Jaccard similarity."""
-    lists = _lists(texts, pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), width)
+    lists = _lists(texts, reps, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), width)
 
     def compared(batches):
         for batch in batches:
@@ -222,7 +243,7 @@ def _passing(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -
                 keep.append(common >= threshold * (len(x) // 6 + len(y) // 6 - common) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(lists.select(F.col("id").alias("a"), F.col("list").alias("la")), "a").join(lists.select(F.col("id").alias("b"), F.col("list").alias("lb")), "b")
+    both = pairs.join(lists.select(F.col("rep").alias("a"), F.col("list").alias("la")), "a").join(lists.select(F.col("rep").alias("b"), F.col("list").alias("lb")), "b")
     return both.select("a", "b", "la", "lb").mapInArrow(tidy(compared), "a long, b long")
 
 
@@ -247,15 +268,24 @@ def _common(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return out
 
 
-def _in_blocks(members: DataFrame, n: str) -> DataFrame:
-    """Every member (bucket, id, component) of a bucket of n in the pairs of blocks (i, j) that hold its block; blocks have about BLOCK members."""
-    dealt = members.withColumn("blocks", F.expr(f"cast(({n} + {BLOCK - 1}) div {BLOCK} as int)")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = dealt.select("bucket", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Every member (bucket, n, rep, component) in the pairs of blocks (i, j) that hold its block; blocks have about BLOCK members."""
+    dealt = members.withColumn("blocks", F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    spread = dealt.select("bucket", "rep", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
+
+
+def _parted(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members of large buckets in a bucket for each two bands that they share, where it holds several components: bucket, n, rep, component."""
+    other = reps.select("rep", F.explode("bands").alias("other"))
+    two = members.join(other, "rep").where("other <> bucket").select(F.least("bucket", "other").alias("x"), F.greatest("bucket", "other").alias("y"), "rep", "component").distinct()
+    two = through_table(two.select(F.xxhash64("x", "y").alias("bucket"), "rep", "component"), "parted")
+    sizes = through_table(two.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "n"), "parted-sizes")
+    return join_hot(two, sizes, ["bucket"], "n").select("bucket", "n", "rep", "component")
 
 
 def _sides(key, table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids, comp, own = (np.asarray(table.column(c)) for c in ("id", "component", "own"))
+    ids, comp, own = (np.asarray(table.column(c)) for c in ("rep", "component", "own"))
     i, j = key[1].as_py(), key[2].as_py()
     return ids, comp, np.flatnonzero(own == i), np.flatnonzero(own == j)
 
@@ -271,7 +301,7 @@ def _resembling(key, table):
         ok = rest[(sig[rest] == sig[at]).sum(1) >= need]
         hit[ok] = True
         hit[at] |= len(ok) > 0
-    return pa.table({"bucket": pa.array([key[0].as_py()] * int(hit.sum()), pa.int64()), "id": pa.array(ids[hit]), "component": pa.array(comp[hit])})
+    return pa.table({"bucket": pa.array([key[0].as_py()] * int(hit.sum()), pa.int64()), "rep": pa.array(ids[hit]), "component": pa.array(comp[hit])})
 
 
 def _joining(threshold: float):
@@ -293,50 +323,97 @@ def _joining(threshold: float):
     return joined
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
-    """doc_id, class_id (the least id of its class), class_size, n_links for every row with an id.
-
-    Rows without a word (null, empty, only signs) are classes of their own and so are texts that nothing
-    resembles; rows with a null id are left out. Texts with the same weighted shingles are linked to the
-    least id among them; ``n_links`` counts the verified links of the row's text that the classes are made of. Repeated
-    ids count as one document, by the text that the sketch of the least hash stands for. An empty table
-    gives no rows. Other columns are ignored. Ids must cast to long.
-    """
-    held = through_table(sketch(docs, id_col, text_col, bands, rows, width), "sketches")
-    reps = through_table(held.groupBy("k1", "k2").agg(F.min(F.struct("id", "bands", "sig")).alias("r")).select(F.col("r.id").alias("id"), "k1", "k2", F.col("r.bands").alias("bands"), F.col("r.sig").alias("sig")).dropDuplicates(["id"]), "representatives")
-    members = held.select("id", "k1", "k2").join(reps.select("k1", "k2", F.col("id").alias("rep")), ["k1", "k2"]).groupBy("id").agg(F.min("rep").alias("rep"))
-    placed = reps.select("id", F.explode("bands").alias("bucket"))
-    hubs = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id")).alias("hub")).where("n > 1").select("bucket", "n", F.col("hub.id").alias("hub"))
-    shared = through_table(placed.join(hubs, "bucket"), "band-buckets")
-    sigs = reps.select("id", "sig")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, threshold: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """The verified links (a, b) of representatives, and the classes (node, component) that they make."""
+    placed = through_table(reps.select("rep", F.explode("bands").alias("bucket")), "placed")
+    hubs = through_table(placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep")).alias("hub")).where("n > 1").select("bucket", "n", F.col("hub.rep").alias("hub")), "hubs")
+    shared = through_table(join_hot(placed, hubs, ["bucket"], "n"), "band-buckets")
+    sigs = reps.select("rep", "sig")
+    texts = _texts(docs.where(F.col(f"`{text_col}`").isNotNull()), id_col, text_col)
 
     def likely(batches):
         for batch in batches:
             if batch.num_rows:
                 yield batch.select([0, 1]).filter(pa.array(_agreement(batch.column(2), batch.column(3)) >= MAY_PASS))
 
-    pairs = shared.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    pairs = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    pairs = shared.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    pairs = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
     pairs = through_table(pairs.select("a", "b", "sa", "sb").mapInArrow(tidy(likely), "a long, b long"), "hub-pairs")
-    links = through_table(_passing(pairs, texts, threshold, width), "links")
+    links = through_table(_passing(pairs, texts, reps, threshold, width), "links")
     first = through_table(connected_components(links, "a", "b"), "classes")
 
     # Buckets with several classes: which members may resemble one of another class, by signature, then exactly.
-    named = shared.join(first.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = named.join(mixed, "bucket").where("n > 2")
-    maybe = through_table(_in_blocks(open_, "n").join(sigs, "id").groupBy("bucket", "i", "j").applyInArrow(_resembling, "bucket long, id long, component long").distinct(), "resembling")
+    named = through_table(shared.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("bucket", "n", "rep", "component"), "named")
+    mixed = through_table(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2").select("bucket", "m"), "mixed")
+    open_ = through_table(join_hot(named, mixed, ["bucket"], "m").drop("m"), "open")
+    large = open_.where(F.col("n") > HOT_BLOCKS * BLOCK)
+    near = open_.where(F.col("n") <= HOT_BLOCKS * BLOCK).unionByName(_parted(large, reps))
+    maybe = through_table(_in_blocks(near).join(sigs, "rep").groupBy("bucket", "i", "j").applyInArrow(_resembling, "bucket long, rep long, component long").distinct(), "resembling")
     if not maybe.isEmpty():
-        lists = _lists(texts, maybe.select("id").distinct(), width)
-        sized = maybe.join(maybe.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
-        more = _in_blocks(sized, "n").join(lists, "id").groupBy("bucket", "i", "j").applyInArrow(_joining(threshold), "a long, b long")
+        lists = _lists(texts, reps, maybe.select("rep").distinct(), width)
+        sizes = through_table(maybe.groupBy("bucket").agg(F.count("*").alias("n")), "resembling-sizes")
+        more = _in_blocks(join_hot(maybe, sizes, ["bucket"], "n")).join(lists, "rep").groupBy("bucket", "i", "j").applyInArrow(_joining(threshold), "a long, b long")
         links = through_table(links.unionByName(more).distinct(), "links")
         first = through_table(connected_components(links, "a", "b"), "classes")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    every = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    out = every.join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    out = out.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("class_id", F.coalesce("component", "rep"))
-    out = out.join(degree, "rep", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    sizes = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return out.join(sizes, "class_id").select("doc_id", "class_id", "class_size", "n_links")
+    return links, first
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
+    """id, th (a hash of the text), class_key, class_id, class_size, n_links for every row; see ``near_duplicates``."""
+    held = through_table(sketch(docs, id_col, text_col, bands, rows, width), "sketches")
+    least = F.min(F.struct(F.isnull("id").alias("no_id"), "id", "th", "bands", "sig")).alias("r")
+    reps = held.where("k1 is not null").groupBy("k1", "k2").agg(least, F.count("*").alias("n"))
+    reps = through_table(reps.select(F.monotonically_increasing_id().alias("rep"), "k1", "k2", "n", "r.*"), "representatives")
+    links, first = _links(docs, reps, id_col, text_col, threshold, width)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    key = F.concat(F.hex("k1"), F.lit("-"), F.hex("k2"))
+    one = F.struct("no_id", "id").alias("one")
+    linked = through_table(reps.join(first.join(degree, "node").withColumnRenamed("node", "rep"), "rep").select("rep", "k1", "k2", "n", "component", "n_links", key.alias("key"), one), "linked")
+    summed = through_table(linked.groupBy("component").agg(F.count("*").alias("texts"), F.min("key").alias("class_key"), F.min("one").alias("least"), F.sum("n").alias("class_size")), "class-sums")
+    named = join_hot(linked, summed, ["component"], "texts").select("k1", "k2", "n", "class_key", F.col("least.id").alias("class_id"), "class_size", "n_links")
+    alone = reps.join(first.select(F.col("node").alias("rep")), "rep", "left_anti").select("k1", "k2", "n", key.alias("class_key"), F.col("id").alias("class_id"), F.col("n").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
+    every = through_table(named.unionByName(alone), "text-classes")
+    out = join_hot(held.where("k1 is not null").select("id", "th", "k1", "k2"), every, ["k1", "k2"], "n").select("id", "th", "class_key", "class_id", "class_size", "n_links")
+    wordless = held.where("k1 is null").select("id", "th", F.lit(None).cast("string").alias("class_key"), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(wordless)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
+    """doc_id, class_id (the least id of its class, null where no member has one), class_size (rows), n_links, class_key for every row.
+
+    Rows without a word (null, empty, only signs) are classes of their own, without a ``class_key``, and so
+    are texts that nothing resembles. Rows that repeat stay and are of one class. An id that repeats with
+    several texts has a row for each, in the class of that text; two classes may then have one least id,
+    and ``class_key`` tells them apart. Rows with a null id are classed like others. ``n_links`` counts the
+    verified links of the row's text with other texts that the classes are made of. An empty table gives
+    no rows. Other columns are ignored; ids are of any type that has an order.
+    """
+    return classes(docs, id_col, text_col, threshold, bands, rows, width).select(F.col("id").alias("doc_id"), "class_id", "class_size", "n_links", "class_key")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with one of each class: that of the least id, null ids last, then of the least text hash.
+
+    Of rows with equal id and text the one whose columns come first as JSON stays. Rows without a word
+    all stay. All columns are kept, of any type and name. An empty table stays empty.
+    """
+    found = through_table(classes(docs, id_col, text_col, threshold).select("id", "th", "class_key"), "classed")
+    worded = found.where("class_key is not null")
+    kept = worded.groupBy("class_key").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "th")).alias("r")).select("r.id", "r.th")
+    repeated = worded.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").select("id", "th")
+    kept = through_table(kept.join(_same(repeated), _agree("id", "th"), "left").select("id", "th", F.col("_th").isNotNull().alias("many")).unionByName(found.where("class_key is null").select("id", "th").distinct().select("id", "th", F.lit(False).alias("many"))), "kept")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("row"), F.col(f"`{id_col}`").alias("_id"), _text_hash(F.col(f"`{text_col}`")).alias("_th"))
+    met = rows.join(kept, _agree("id", "th"))
+    out = met.where("not many").select("row")
+    if not kept.where("many").isEmpty():
+        out = out.unionByName(met.where("many").groupBy("id", "th").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return out.select("row.*")
+
+
+def _same(table: DataFrame) -> DataFrame:
+    return table.select(F.col("id").alias("_id"), F.col("th").alias("_th"))
+
+
+def _agree(id_col: str, th: str):
+    return F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(th) == F.col("_th"))

@@ -138,12 +138,35 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     texts |= {n: None, n + 1: "", n + 2: "?!", n + 3: "two words", n + 4: "Two words.", n + 5: "two word"}
     docs = spark.createDataFrame([(i, t, 5, "x") for i, t in texts.items()] + [(0, texts[0], 5, "x"), (None, "a b c d e f", 5, "x")], "doc_id long, text string, class_id int, sig string")
     rows = minhash.near_duplicates(docs).collect()
-    assert {r.doc_id: r.class_id for r in rows} == classes_by_force(texts) and len(rows) == len(texts)
-    sizes = Counter(r.class_id for r in rows)
-    assert all(r.class_size == sizes[r.class_id] for r in rows)
+    assert {r.doc_id: r.class_id for r in rows if r.doc_id is not None} == classes_by_force(texts) and len(rows) == len(texts) + 2
+    sizes = Counter(r.class_id for r in rows if r.doc_id is not None)
+    assert all(r.class_size == sizes[r.class_id] for r in rows if r.doc_id is not None)
+    monkeypatch.setattr(minhash, "HOT_BLOCKS", 1)  # large buckets are parted
+    again = minhash.near_duplicates(docs).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
     assert minhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_repeated_ids_lose_no_text(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, b), (None, c), (None, c + "!"), (5, "?"), (5, "?"), (6, c.upper()), (7, a), (7, a)]
+    docs = spark.createDataFrame([(i, t, {"k": 1}, "x", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, tags map<string,int>, `a.b` string, _th int")
+    got = Counter((r.doc_id, r.class_id, r.class_size, r.n_links) for r in minhash.near_duplicates(docs).collect())
+    assert got == Counter([(1, 1, 5 - 1, 0), (1, 1, 3, 0), (2, 1, 4, 0), (3, 1, 3, 0), (4, 1, 3, 0), (None, 6, 3, 0), (None, 6, 3, 0), (5, 5, 1, 0), (5, 5, 1, 0), (6, 6, 3, 0), (7, 1, 4, 0), (7, 1, 4, 0)])
+    by_text = {}
+    for r, key in ((r, r.class_key) for r in minhash.near_duplicates(docs).where("doc_id in (1, 2, 3, 4, 7)").collect()):
+        by_text.setdefault(key, []).append(r.doc_id)
+    assert sorted(map(sorted, by_text.values())) == [[1, 2, 7, 7], [1, 3, 4]]
+    one = minhash.one_of_each(docs)
+    assert one.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in one.collect()) == sorted([(1, a), (1, b), (5, "?"), (5, "?"), (6, c.upper())])
+    names = spark.createDataFrame([("b", a), ("a", a), ("a", a)], "doc_id string, text string")
+    assert {(r.doc_id, r.class_id, r.class_size) for r in minhash.near_duplicates(names).collect()} == {("a", "a", 3), ("b", "a", 3)}
+    assert [(r.doc_id, r.text) for r in minhash.one_of_each(names).collect()] == [("a", a)]
+    assert minhash.one_of_each(docs.limit(0)).collect() == []
+
+
 def test_op10_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert {r.doc_id: r.class_id for r in op10_dart_minhash(spark, "/root/testdata/sf0.001").collect()} == classes_by_force(texts)
