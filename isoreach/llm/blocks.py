@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.types import StructField, StructType
 
 BLOCK_BYTES = 2 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -36,6 +37,12 @@ def tidy(f):
     return run
 
 
+def map_rows(docs, f, schema):
+    """``docs.mapInArrow`` for columns of any name: the batches' columns are c0, c1 and so on, the result has the names of ``schema``."""
+    plain = StructType([StructField(f"c{i}", x.dataType, x.nullable) for i, x in enumerate(schema)])
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(f, plain).toDF(*schema.names)
+
+
 def trim() -> None:
     import ctypes
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from isoreach.llm.blocks import blocks, tidy
+from isoreach.llm.blocks import blocks, map_rows, tidy
 
 ERROR_RATE = 0.08
 #: Shorter items are phrases of everyday text.
@@ -190,7 +190,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "tex
     at_text = docs.columns.index(text_col)
     for held in item_blocks(items, least_chars=least_chars):
         sent = docs.sparkSession.sparkContext.broadcast(([t for _, t in held], rate))  # BLOCK_BYTES at most, and one item
-        out = out.mapInArrow(tidy(_cleaning(sent, text_col, at_text)), docs.schema)
+        out = map_rows(out, tidy(_cleaning(sent, f"c{at_text}", at_text)), docs.schema)
     return out
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.blocks import blocks, tidy
+from isoreach.llm.blocks import blocks, map_rows, tidy
 
 BINS = 1 << 16
 SCRIPT_SHARE = 0.01
@@ -243,14 +243,14 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_
     held = docs.sparkSession.sparkContext.broadcast(model)  # BINS numbers a language
     names = docs.columns if lang_col in docs.columns else [*docs.columns, lang_col]
     plain = docs if lang_col in docs.columns else docs.withColumn(lang_col, F.lit(None).cast("string"))
-    plain = plain.withColumn(lang_col, F.col(lang_col).cast("string"))
+    plain = plain.withColumn(lang_col, F.col(f"`{lang_col}`").cast("string"))
     at_text, at_lang = names.index(text_col), names.index(lang_col)
 
     def kept(batches):
         m = held.value
         for batch in batches:
             group, size = [], 0
-            parts = list(blocks(batch, text_col, BLOCK))
+            parts = list(blocks(batch, f"c{at_text}", BLOCK))
             for i, part in enumerate(parts):
                 words = Words(part.column(at_text).to_pylist())
                 group.append((part, words, m.scores(words)))
@@ -259,12 +259,12 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_
                 if size >= GROUP_SCORES or i == len(parts) - 1:
                     found = _spans(m, group, penalty)
                     rows = pa.Table.from_batches([g[0] for g in group])
-                    rows = rows.set_column(at_lang, lang_col, found.column(1))
+                    rows = rows.set_column(at_lang, f"c{at_lang}", found.column(1))
                     known = np.array([x != "und" for x in found.column(1).to_pylist()]) & (found.column(2).to_numpy() >= least)
                     yield from rows.filter(pa.array(known)).to_batches()
                     group, size = [], 0
 
-    return plain.mapInArrow(tidy(kept), plain.schema)
+    return map_rows(plain, tidy(kept), plain.schema)
 
 
 def _spans(m: Model, group: list, penalty: float) -> pa.RecordBatch:

@@ -73,3 +73,21 @@ def test_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_any_columns_and_repeated_ids(spark):
+    a, b = "the of and to in that for was with on as at by from " * 3, "one or two of the other words that were not in it " * 3
+    rows = [(1, a), (1, b), (2, a + "!"), (None, b + " mail x@y.org and more of the same to be read"), (3, None), (4, ""), (5, "of the " * 30_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", n, {"k": n}, "v", n, "r") for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int, m map<string,int>, _text string, `a.b` int, row string")
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, out = out, stage(spark, out, SF)
+        assert out.columns == docs.columns and out.schema["m"].dataType == docs.schema["m"].dataType and before.columns == docs.columns
+        out = corpus_pipeline.through_table(out, "stage")
+    got = sorted((r["a.b"], r.doc_id, r.m["k"], "<email>" in r.text, r.n_chars == len(r.text)) for r in out.collect())
+    assert got == [(0, 1, 0, False, True), (1, 1, 1, False, True), (3, None, 3, True, True), (6, 5, 6, False, True)]
+    last = corpus_pipeline.tokens(spark, out, SF)
+    assert last.count() == 4
+    loose = spark.createDataFrame([(7, None, {"k": 1}), (7, "call +1 555 123 4567", {"k": 2}), (8, None, {"k": 3})], "doc_id long, text string, m map<string,int>")
+    assert sorted((r.doc_id, str(r.text)) for r in corpus_pipeline.personal_data(spark, loose, SF).collect()) == [(7, "None"), (7, "call <phone>"), (8, "None")]
+    assert corpus_pipeline.near_duplicates(spark, loose, SF).count() == 3
