@@ -1,7 +1,7 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read again by the next.
 
 1. language ID: texts without a known language for half of their letters go; ``lang`` becomes the language found
-2. near duplicates: one document of each class of similar texts stays, the one with the least id
+2. near duplicates: one document of each class of similar texts stays, the one with the least id (by text, so no text of a repeated id is lost)
 3. benchmark decontamination: documents that hold a test item, up to its edit budget, go
 4. personal data: spans are replaced by their kind in angle brackets, ``n_chars`` follows
 5. BPE: token ids of every document, and digests of the ids and of the text they decode to
@@ -21,31 +21,33 @@ from isoreach.llm.queries import small_batches, tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts and texts without a letter go; repeated rows are judged alike; no labelled row at all leaves no row."""
     small_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a null id cannot be named and stay; of rows with one id the least text stays."""
+    """Rows without a word stay. Null ids are compared like others and an id that repeats with other texts keeps one row for each class."""
     small_batches(spark)
-    kept = minhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("r"))
-    named = one.select("doc_id", "r.*").select(docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    return minhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts stay; ids of the items may be null or repeat; an empty benchmark removes nothing."""
     small_batches(spark)
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.find(docs).select("row.*", pii.redacted(F.col("row.text"), F.col("spans")).alias("_text"))
-    return out.withColumn("text", F.col("_text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Null texts stay null, and so does their ``n_chars``; all other columns stay as they are, whatever their names."""
+    text = pii.redacted(F.col("row")["text"], F.col("spans"))
+    out = pii.find(docs).select("row", text.alias("text"))
+    put = {"text": F.col("text"), "n_chars": F.length("text")}
+    return out.select(*((put[f.name].cast(f.dataType) if f.name in put else F.col("row")[f.name]).alias(f.name) for f in docs.schema))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts have no ids and decode to the empty text; repeated and null ids keep their rows."""
     small_batches(spark)
     out = bpe_table.encode_decode(docs, tokenizer_path())
     return out.select(
