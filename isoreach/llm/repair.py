@@ -1,15 +1,16 @@
 """Token ids in grammar-compressed files.
 
-Documents are range-partitioned and sorted by id, and each partition writes blocks. A block is
-compressed by Re-Pair in batches: a round counts neighbouring pairs of symbols, gives the most frequent
-ones a nonterminal each, and replaces them from the left; the next round sees the new symbols. Rules
-only name symbols of earlier rounds, so each has a known expansion length, and the running sum of these
-lengths over a block's symbols finds the symbol that holds any token: a document is decoded without
-its neighbours.
-
-Block layout (little-endian): ``RPR1``, then uint32 counts of terminals, rules, symbols; uint64 ids;
-uint32 rules (left, right); uint32 symbols. Blocks are rows of a Parquet table in the shared folder:
-block, first_doc, last_doc, doc_ids, lengths, n_ids, payload.
+Documents are range-partitioned and sorted by id and a hash of the text, and each partition writes
+blocks. A block is compressed by Re-Pair in batches: a round counts the neighbouring pairs of symbols,
+gives every pair with at least one in SHARE of the most uses (and at least LEAST_USES) a nonterminal, and
+replaces them from the left; the next round sees the new symbols. Rounds go on until no pair has
+LEAST_USES uses that do not overlap. Rules only name symbols of earlier rounds and are stored with their
+expansion lengths, and the running sum of these lengths over a block's symbols finds the symbol that
+holds any token: a document is decoded without its neighbours.
+
+Block layout (little-endian): ``RPR2``, then uint32 counts of terminals, rules, symbols and the bytes of
+a symbol; uint64 ids; uint32 rules (left, right); uint32 expansion lengths; symbols. Blocks are rows of a
+Parquet table in the shared folder: block, first_doc, last_doc, doc_ids, lengths, n_ids, payload.
 """
 
 from __future__ import annotations
@@ -26,81 +27,135 @@ from isoreach.functions.shared import shared_path
 from isoreach.llm.blocks import blocks, tidy
 from isoreach.llm.bpe import Codec, ragged
 
-BLOCK_IDS = 1 << 20
-ROUNDS = 3
-PAIRS_A_ROUND = 2048
+BLOCK_IDS = 1 << 19
 LEAST_USES = 8
-_HEAD = struct.Struct("<4sIIIQ")
-_TABLE = 1 << 20
+SHARE = 32
+_HEAD = struct.Struct("<4sIIIIQ")
+_SLOTS = 1 << 18
+#: Bytes of the table for a partition of the files.
+PARTITION_BYTES = 128 << 20
+MOST_PARTITIONS = 100_000
 #: Blocks whose starts are broadcast; of more the payloads are shuffled to them.
 SMALL_BLOCKS = 500_000
 
 
-def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, pairs: int = PAIRS_A_ROUND, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray]:
-    """(rules as rows left, right; symbols). ids are below ``terminals``; rule k is the symbol terminals + k."""
-    s = ids.astype(np.uint32)
-    rules = np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(s) < 2 * least:
-            break
-        left, right = s[:-1], s[1:]
-        h = ((left * np.uint32(0x9E3779B1) ^ (right * np.uint32(0x85EBCA6B) >> np.uint32(3))) >> np.uint32(12)).astype(np.int32)
-        count = np.bincount(h, minlength=_TABLE)
-        top = np.sort(np.partition(count, -pairs)[-pairs:])[0]
-        at = np.flatnonzero((count >= max(top, least))[h])
-        if not len(at):
-            break
+def _apart(at: np.ndarray) -> np.ndarray:
+    """Of ascending places those where no other begins one place before: in a run every other one, from the left."""
+    run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    first = np.repeat(run, np.diff(run, append=len(at)))
+    return ((np.arange(len(at)) - first) & 1) == 0
+
+
+def frequent_pairs(s: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs as left << 32 | right, place of each occurrence, pair of each occurrence) of the pairs with enough uses.
+
+    A place of the hash table rules out what is rare; where one holds several pairs these are counted
+    one by one. Enough is ``least``, and one in SHARE of the most that a place of the table holds.
+    """
+    left, right = s[:-1], s[1:]
+    h = ((left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA6B)) >> np.uint32(14)).astype(np.int32)
+    count = np.bincount(h, minlength=_SLOTS)
+    limit = max(least, int(count.max()) // SHARE)
+    while True:
+        at = np.flatnonzero((count >= limit)[h])
         slot = h[at]
-        name = np.zeros(_TABLE, np.uint64)
         pair = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        name[slot] = pair  # one pair for each place of the table
-        held = name[slot] == pair
-        at, slot = at[held], slot[held]
-        run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of overlapping places every other one, from the left
-        at_run = np.repeat(run, np.diff(run, append=len(at)))
-        odd = ((np.arange(len(at)) - at_run) & 1) == 0
-        at, slot = at[odd], slot[odd]
-        used = np.flatnonzero(np.bincount(slot, minlength=_TABLE) >= least)
-        if not len(used):
+        name, mixed = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, bool)
+        name[slot] = pair
+        mixed[slot[name[slot] != pair]] = True
+        alone = np.flatnonzero((count >= limit) & ~mixed)
+        number = np.full(_SLOTS, -1, np.int32)
+        number[alone] = np.arange(len(alone), dtype=np.int32)
+        which = number[slot]
+        rest = np.flatnonzero(mixed[slot])
+        more, back, n = np.unique(pair[rest], return_inverse=True, return_counts=True)
+        held = n >= limit
+        which[rest] = np.where(held, len(alone) + np.cumsum(held) - 1, -1)[back]
+        if len(alone) or held.any() or limit == least:
+            own = which >= 0
+            return np.concatenate([name[alone], more[held]]), at[own], which[own]
+        limit = max(least, limit // SHARE)
+
+
+def compress(ids: np.ndarray, terminals: int, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray]:
+    """(rules as rows left, right; symbols). ids are below ``terminals``; rule k is the symbol terminals + k."""
+    s = ids.astype(np.uint32)
+    rules: list[np.ndarray] = [np.zeros((0, 2), np.uint32)]
+    made = 0
+    while len(s) >= 2 * least:
+        pair, at, which = frequent_pairs(s, least)
+        if not len(pair):
             break
-        symbol = np.zeros(_TABLE, np.uint32)
-        symbol[used] = terminals + len(rules) + np.arange(len(used), dtype=np.uint32)
-        new = symbol[slot]
-        at, new = at[new > 0], new[new > 0]
-        rules = np.concatenate([rules, np.stack([name[used] >> np.uint64(32), name[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)])
+        free = _apart(at)
+        uses = np.bincount(which[free], minlength=len(pair))
+        if uses.max() < least:  # they overlap one another: one pair after the other, the most frequent first
+            taken = np.zeros(len(s), bool)
+            free = np.zeros(len(at), bool)
+            for p in np.argsort(-np.bincount(which, minlength=len(pair)), kind="stable").tolist():
+                own = np.flatnonzero(which == p)
+                own = own[~taken[at[own]] & ~taken[at[own] + 1]]
+                own = own[_apart(at[own])]
+                if len(own) >= least:
+                    free[own] = True
+                    taken[at[own]] = taken[at[own] + 1] = True
+            uses = np.bincount(which[free], minlength=len(pair))
+            if not free.any():
+                break
+        good = uses >= least
+        free &= good[which]
+        at = at[free]
         s = s.copy()
-        s[at] = new
+        s[at] = (terminals + made + np.cumsum(good) - 1).astype(np.uint32)[which[free]]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
-    return rules, s
+        rules.append(np.stack([pair[good] >> np.uint64(32), pair[good] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        made += int(good.sum())
+    return np.concatenate(rules), s
+
+
+def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
+    """How many ids each rule stands for."""
+    length, done = np.ones(terminals + len(rules), np.int64), 0
+    for to in _levels(rules, terminals):
+        length[terminals + done : terminals + to] = length[rules[done:to]].sum(1)
+        done = to
+    return length[terminals:]
+
+
+def _levels(rules: np.ndarray, terminals: int):
+    """Ends of runs of rules that only name symbols from before the run."""
+    done = 0
+    top = rules.max(1) if len(rules) else rules
+    while done < len(rules):
+        known = np.flatnonzero(top[done:] >= terminals + done)
+        done = done + int(known[0]) if len(known) else len(rules)
+        yield done
 
 
 class Grammar:
     """Rules with their expansions, and the symbols of one block."""
 
     def __init__(self, payload: bytes):
-        magic, self.terminals, n_rules, n_symbols, self.n_ids = _HEAD.unpack_from(payload)
-        if magic != b"RPR1":
+        magic, self.terminals, n_rules, n_symbols, width, self.n_ids = _HEAD.unpack_from(payload)
+        if magic != b"RPR2":
             raise ValueError("not a block of grammar-compressed ids")
         rules = np.frombuffer(payload, "<u4", 2 * n_rules, _HEAD.size).reshape(-1, 2)
-        self.symbols = np.frombuffer(payload, "<u4", n_symbols, _HEAD.size + 8 * n_rules)
         t = self.terminals
         self.length = np.ones(t + n_rules, np.int64)
-        self.at = np.zeros(t + n_rules, np.int64)
-        self.at[:t] = np.arange(t)
-        flat, done = np.arange(t, dtype=np.uint32), 0
-        while done < n_rules:  # as many rules at once as name only symbols that are known
-            known = np.flatnonzero(rules[done:].max(1) >= t + done)
-            to = done + int(known[0]) if len(known) else n_rules
-            own = rules[done:to]
-            parts = own.reshape(-1)
-            n = self.length[parts]
-            self.length[t + done : t + to] = n.reshape(-1, 2).sum(1)
-            self.at[t + done : t + to] = len(flat) + np.cumsum(self.length[t + done : t + to]) - self.length[t + done : t + to]
-            flat = np.concatenate([flat, flat[ragged(self.at[parts], n)]])
-            done = to
-        self.flat = flat
+        self.length[t:] = np.frombuffer(payload, "<u4", n_rules, _HEAD.size + 8 * n_rules)
+        wide = np.zeros((n_symbols, 4), np.uint8)
+        wide[:, :width] = np.frombuffer(payload, np.uint8, n_symbols * width, _HEAD.size + 12 * n_rules).reshape(-1, width)
+        self.symbols = wide.view("<u4").reshape(-1)
+        self.at = np.concatenate([np.arange(t), t + np.cumsum(self.length[t:]) - self.length[t:]])
+        done = 0
+        self.flat = np.empty(t + int(self.length[t:].sum()), np.uint32)
+        self.flat[:t], filled = np.arange(t), t
+        for to in _levels(rules, t):  # as many rules at once as name only symbols that are known
+            parts = rules[done:to].reshape(-1)
+            new = self.flat[ragged(self.at[parts], self.length[parts])]
+            self.flat[filled : filled + len(new)] = new
+            done, filled = to, filled + len(new)
 
     def ids(self, begin: int = 0, end: int | None = None) -> np.ndarray:
         """The ids at begin to end of the block; only the symbols that hold them are expanded."""
@@ -114,19 +169,25 @@ class Grammar:
         return self.flat[ragged(self.at[some], self.length[some])][begin - before : end - before]
 
 
-def to_payload(ids: np.ndarray, terminals: int) -> bytes:
-    rules, symbols = compress(ids, terminals)
-    return _HEAD.pack(b"RPR1", terminals, len(rules), len(symbols), len(ids)) + rules.astype("<u4").tobytes() + symbols.astype("<u4").tobytes()
+def to_payload(ids: np.ndarray, terminals: int, least: int = LEAST_USES) -> bytes:
+    rules, symbols = compress(ids, terminals, least)
+    width = max(1, (int(terminals + len(rules) - 1).bit_length() + 7) // 8)
+    lengths = expansion_lengths(rules, terminals)
+    head = _HEAD.pack(b"RPR2", terminals, len(rules), len(symbols), width, len(ids))
+    return head + rules.astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + np.ascontiguousarray(symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
 
 
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encodes every text (null: empty), appends ``end_id`` and writes blocks in ascending id order; the table's path.
 
-    Null ids come first and repeated ids lie by text. Other columns are ignored. An empty table writes no rows.
+    Null ids come first and repeated ids lie by a hash of the text and the text; a hot id may lie in several
+    partitions. Their number follows the size of the input. Other columns are ignored. An empty table
+    writes no rows.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    guess = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of files; of joins it may be far too large
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(guess // PARTITION_BYTES, MOST_PARTITIONS), 1)
 
     def written(batches):
         codec = Codec.of(tokenizer)
@@ -162,7 +223,8 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, partitions: int
             yield flush()
 
     path = shared_path(spark, "token-ids")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     rows.mapInArrow(tidy(written), f"block long, part int, first_doc {kind}, last_doc {kind}, doc_ids array<{kind}>, lengths array<long>, n_ids long, payload binary").write.parquet(path)
     return path
 

@@ -15,7 +15,7 @@ RANGE = 1024
 
 
 def token_lengths(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens for every row; null and empty texts have 0. Rows that repeat stay."""
+    """doc_id, n_tokens for every row; null and empty texts have 0. Rows that repeat stay, null ids too; an empty table gives no rows."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def counted(batches):
@@ -59,13 +59,19 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def at_limit(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """limit, docs_over, truncated_total for any limits, from the histogram alone; an empty one gives zeros."""
-    want = histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long")
-    held = histogram.select("n_tokens", "n_docs").join(F.broadcast(want), F.lit(True))  # limits times lengths
-    return held.groupBy("limit").agg(
-        F.sum(F.when(F.col("n_tokens") > F.col("limit"), F.col("n_docs")).otherwise(0)).alias("docs_over"),
-        F.sum(F.least("n_tokens", "limit") * F.col("n_docs")).alias("truncated_total"),
-    )
+    """limit, docs_over, truncated_total for any limits, read from the suffix sums at the greatest length within each limit.
+
+    One pass over the histogram keeps one row a limit; an empty histogram gives zeros. A limit that repeats stays.
+    """
+    answer = lambda x: F.struct(F.col("docs_over"), (F.col("tokens_upto") + F.lit(x) * F.col("docs_over")).alias("truncated_total"))
+    all_docs = F.coalesce(F.max(F.col("docs_upto") + F.col("docs_over")), F.lit(0))
+    found = []
+    for x in limits:
+        below = F.max_by(F.when(F.col("n_tokens") <= x, answer(int(x))), F.when(F.col("n_tokens") <= x, F.col("n_tokens")))
+        none = F.struct(all_docs.alias("docs_over"), (F.lit(int(x)) * all_docs).alias("truncated_total"))
+        found.append(F.struct(F.lit(int(x)).cast("long").alias("limit"), F.coalesce(below, none).alias("a")))
+    out = histogram.agg(F.array(*found).alias("found")).select(F.explode("found").alias("f"))
+    return out.select("f.limit", "f.a.docs_over", "f.a.truncated_total")
 
 
 def length_quantile(histogram: DataFrame, q: float) -> DataFrame:
