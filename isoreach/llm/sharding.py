@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoreach.functions.shared import through_table
+from isoreach.llm.skew import join_hot
 
 HEAVY = 32
 BUCKET_GROUPS = 4096
@@ -114,7 +115,7 @@ def balanced_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     Size is the UTF-8 length (null: 0) plus ``overhead``. Rows with equal text share a shard; null is a
     group of its own, apart from the empty text. Slots run gapless from 0 within a shard, by a hash of
     the id and then the id; repeated ids keep one slot each. Other columns are ignored. An empty table
-    gives no rows. A hot text is summed before any exchange, and only its narrow rows meet the join.
+    gives no rows. A hot text is summed before any exchange, and its rows get their shard by broadcast.
     """
     text = F.col(text_col)
     rows = docs.select(
@@ -124,9 +125,10 @@ def balanced_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
         F.coalesce(F.concat(F.md5(text.cast("binary")), F.octet_length(text).cast("string")), F.lit("null")).alias("key"),
     )
     rows = through_table(rows, "shard-rows")
-    dealt = through_table(assign_groups(rows.groupBy("key").agg(F.sum("size").alias("bytes")), shards), "shard-of-group")
+    groups = through_table(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("times")), "shard-groups")
+    dealt = through_table(assign_groups(groups.select("key", "bytes"), shards).join(groups.select("key", "times"), "key"), "shard-of-group")
     spread = max(1, rows.count() // (shards * CELL_ROWS))  # cells of a shard, so that no window sees more than some CELL_ROWS rows
-    placed = rows.join(dealt, "key").withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(spread)))
+    placed = join_hot(rows, dealt, ["key"], "times").withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(spread)))
     placed = through_table(placed.select("doc_id", "size", "text_crc32", "shard", "cell"), "shard-placed")
     cells = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = cells.withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)))

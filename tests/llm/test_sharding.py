@@ -25,6 +25,26 @@ def test_small_cases():
     assert len(set(sharding.karmarkar_karp([5, 5, 5], 3).tolist())) == 3
 
 
+def differencing_by_force(sizes, ways):
+    """The sums that differencing leaves, with plain lists and a full search for the largest spreads."""
+    held = [([s] + [0] * (ways - 1), i) for i, s in enumerate(sizes)]
+    serial = len(held)
+    while len(held) > 1:
+        held.sort(key=lambda v: (-(v[0][0] - v[0][-1]), v[1]))
+        (a, _), (b, _) = held[:2]
+        held = [*held[2:], (sorted((x + y for x, y in zip(a, reversed(b))), reverse=True), serial)]
+        serial += 1
+    return held[0][0]
+
+
+def test_differencing_by_force():
+    rng = random.Random(6)
+    for _ in range(200):
+        ways, sizes = rng.randint(2, 6), [rng.randint(0, 50) for _ in range(rng.randint(1, 25))]
+        sums = np.bincount(sharding.karmarkar_karp(sizes, ways), sizes, ways)
+        assert sorted(sums.tolist(), reverse=True) == differencing_by_force(sizes, ways)
+
+
 def check(rows, texts, shards):
     by_text, slots, sums = {}, defaultdict(list), [0] * shards
     for r in rows:
