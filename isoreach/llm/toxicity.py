@@ -25,6 +25,8 @@ RANK = 4
 EPOCHS = 12
 #: Labelled rows that the machine is fitted on, about, of each label.
 FIT_ROWS = 6000
+#: Terms of a fitting row that the driver gets at most, those of the least hash; all terms count in a score.
+FIT_TERMS = 4096
 
 
 def terms(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -120,27 +122,34 @@ def fit_machine(doc: np.ndarray, bins: np.ndarray, label: np.ndarray, seed: int
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, terms_a_row: int = FIT_TERMS) -> Machine:
     """A machine from the rows whose id has a label of 0 or 1, about ``rows`` of each label by a hash of the id.
 
-    The driver gets their term lists, some kilobytes a row, not texts. Several labels of one id count as
-    the largest. No rows of a label: a constant under 0.5.
+    The driver gets no texts but term lists of ``terms_a_row`` terms at most, and 4 * ``rows`` lists at most,
+    by the same hash, also where ids of documents repeat. Several labels of one id count as the largest.
+    No rows of a label, or an empty table: a constant under 0.5. Null texts have no term.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     sizes = {r.label: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
     for k in (0, 1):
         if sizes.get(k, 0) > rows:
             marks = marks.where((F.col("label") != k) | (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(rows / sizes[k] * (1 << 20))))
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id").select("text", "label")  # about 2 * rows ids at most, so no text is shuffled
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id").select("text", "label", F.xxhash64("id", "text").alias("h"))  # about 2 * rows ids at most, so no text is shuffled
 
     def listed(batches):
         for batch in batches:
             for part in blocks(batch):
                 doc, bins = terms(part.column(0).to_pylist())
+                if len(doc) > terms_a_row:
+                    order = np.lexsort((mix(bins.astype(np.uint64)), doc))
+                    own = np.bincount(doc, minlength=part.num_rows)
+                    rank = np.arange(len(doc)) - np.repeat(np.cumsum(own) - own, own)
+                    some = np.sort(order[rank < terms_a_row])
+                    doc, bins = doc[some], bins[some]
                 edges = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(edges), pa.array(bins.astype(np.int32))), part.column(1)], names=["bins", "label"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(edges), pa.array(bins.astype(np.int32))), part.column(1), part.column(2)], names=["bins", "label", "h"])
 
-    got = chosen.mapInArrow(tidy(listed), "bins array<int>, label int").toArrow().combine_chunks()
+    got = chosen.mapInArrow(tidy(listed), "bins array<int>, label int, h long").orderBy("h").limit(4 * rows).toArrow().combine_chunks()
     lists = got.column("bins").combine_chunks() if got.num_rows else None
     if lists is None:
         return fit_machine(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -155,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1) for every row; null and empty texts get the score of no term. Other columns are ignored."""
+    """doc_id, score (0 to 1) for every row; null and empty texts get the score of no term. Repeated rows stay, null ids too; an empty table gives no rows. Other columns are ignored."""
     held = docs.sparkSession.sparkContext.broadcast(machine)  # CHOSEN bins and a table of BINS places
     kind = docs.schema[id_col].dataType.simpleString()
 

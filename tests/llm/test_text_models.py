@@ -144,6 +144,26 @@ def test_pairs_of_terms_are_learned():
     assert s[0] > 0.5 > max(s[1:])
 
 
+def test_raw_scores_are_the_sum_over_pairs():
+    rng = np.random.default_rng(1)
+    m = toxicity.Machine(np.arange(40), 0.3, rng.normal(size=40), rng.normal(size=(40, toxicity.RANK)))
+    lists = [sorted(rng.choice(40, n, replace=False).tolist()) for n in (0, 1, 2, 7, 40)]
+    doc, at = np.repeat(np.arange(5), [len(x) for x in lists]), np.concatenate(lists).astype(int)
+    want = [0.3 + sum(m.w[i] for i in x) + sum(m.v[i] @ m.v[j] for i, j in itertools.combinations(x, 2)) for x in lists]
+    assert m.raw(doc, at, 5) == pytest.approx(want)
+
+
+def test_op4_scores_by_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.fit(docs, labels, terms_a_row=50)
+    rows = {r.doc_id: r.score for r in toxicity.score(docs, m).collect()}
+    for r in docs.limit(60).collect():
+        doc, bins = toxicity.terms([r.text])
+        at = [int(m.place[b]) for b in bins if m.place[b] >= 0]
+        z = m.w0 + sum(m.w[i] for i in at) + sum(float(m.v[i] @ m.v[j]) for i, j in itertools.combinations(at, 2))
+        assert rows[r.doc_id] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
 def test_op4_held_out(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     rows = op4_factorization_machine(spark, "/root/testdata/sf0.1").collect()
