@@ -9,6 +9,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths in the shared folder, by application.
+_made: dict[str, list[str]] = {}
+
+
 def visible(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it, whatever folder they start in."""
     root = str(Path(__file__).resolve().parents[2])
@@ -20,8 +24,8 @@ def visible(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where neither that setting nor a
-    checkpoint folder exists (local tests) a temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``. Where neither that setting nor a checkpoint folder
+    exists a temporary folder is made in local mode (tests); elsewhere it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -31,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="isoreach-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -38,7 +44,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path of that name in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Deletes all tables that this application wrote to the shared folder; how many. DataFrames that read them are lost, so results go to their place first."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def through_table(df: DataFrame, name: str) -> DataFrame:

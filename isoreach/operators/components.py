@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Each round links every node's larger neighbours to its least neighbour and then its smaller ones
     (large star, small star); the number of rounds grows with the logarithm of the longest path. Rounds
-    are written to the shared folder. Loops and repeated edges are allowed, edges with a null end are
+    are written to the shared folder; it is an error if they do not settle. Loops and repeated edges are allowed, edges with a null end are
     ignored, and an empty table gives no rows.
     """
     clean = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
@@ -31,5 +31,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     root = links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return nodes.join(root, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Speeds (km/h), minutes to reach a car, value of time (h/€), fuel (€/l) and consumption (km/l).
@@ -82,6 +82,7 @@ def saturation_rate(k: float) -> float:
 
 def saturated(df: DataFrame, keys: list[str], value: str, rate: Column, out: str = "access") -> DataFrame:
     """keys and the sum of the values by rank, each worth less than the one before: weight e^(c(r-1)) - e^(c r) at rank r."""
-    r = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value)))
-    ranked = df.withColumn("_r", r).withColumn("_c", rate)
-    return ranked.groupBy(*keys).agg(F.sum(F.col(value) * (F.exp(F.col("_c") * (F.col("_r") - 1)) - F.exp(F.col("_c") * F.col("_r")))).alias(out))
+    lists = df.groupBy(*keys).agg(F.sort_array(F.collect_list(value), asc=False).alias("_l"), F.first(rate).alias("_c"))
+    # the weight of rank r is (1 - e^c) e^(c (r - 1)), so a sum needs one power for each place
+    total = F.aggregate(F.transform("_l", lambda x, i: x * F.exp(F.col("_c") * i)), F.lit(0.0), lambda a, x: a + x)
+    return lists.select(*keys, ((1 - F.exp("_c")) * total).alias(out))

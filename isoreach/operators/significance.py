@@ -1,4 +1,4 @@
-"""Paired tests between two scenarios. Random draws are arithmetic on the ids, so they can be repeated anywhere."""
+"""Paired tests between two scenarios. Random draws are digests of the ids and the repetition, so they can be repeated anywhere."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _digest(*columns: str) -> Column:
+    return F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in columns)).cast("binary"))
+
+
 def average_rank(key: str, value: str) -> Column:
     """Ranks from 1; equal values share the mean of their ranks."""
     return F.rank().over(Window.partitionBy(key).orderBy(value)) + (F.count("*").over(Window.partitionBy(key, value)) - 1) / 2.0
@@ -32,8 +36,7 @@ def block_permutation(df: DataFrame, key: str, diff: str, block: str, reps: int)
     rows = df.where(F.col(diff) != 0).withColumn("_d", F.abs(diff)).join(_ranked(df, key, diff), [key, "_d"])
     sums = rows.groupBy(key, block).agg(F.sum(F.col("_rank") * F.signum(diff)).alias("s"))
     observed = sums.groupBy(key).agg(F.sum("s").alias("w0"), F.count("*").alias("n_blocks"))
-    b = F.col(block)
-    sign = F.when((b % 1000003 * 7919 + F.col("rep") * 104729 + (b % 997) * F.col("rep")) % 2 == 0, 1.0).otherwise(-1.0)
+    sign = F.when(F.substring(_digest(block, "rep"), 1, 1) < "8", 1.0).otherwise(-1.0)
     drawn = sums.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).groupBy(key, "rep").agg(F.sum(F.col("s") * sign).alias("w"))
     both = drawn.join(observed, key)
     return both.groupBy(key, "n_blocks").agg(((1.0 + F.count_if(F.abs("w") >= F.abs("w0") - 1e-6)) / (reps + 1)).alias("p_value"))
@@ -42,13 +45,13 @@ def block_permutation(df: DataFrame, key: str, diff: str, block: str, reps: int)
 def bootstrap_median(df: DataFrame, key: str, order: str, value: str, reps: int, level: float = 0.95) -> DataFrame:
     """key, lo, hi: the percentile interval of the median over samples of a key's rows with replacement.
 
-    A row's place in sample ``rep`` is drawn by arithmetic on rep and place, and joined to the rows by
-    key and place.
+    A row's place in sample ``rep`` is drawn by a digest of rep and place, and joined to the rows by key
+    and place.
     """
     placed = df.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
     sized = placed.join(df.groupBy(key).agg(F.count("*").alias("_n")), key)
     draws = sized.select(key, F.col("_i").alias("_j"), "_n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    at = (F.col("rep").cast("long") * 7919 + F.col("_j").cast("long") * 104729 + F.col("rep").cast("long") * F.col("_j") * 31) % F.col("_n")
+    at = F.conv(F.substring(_digest("rep", "_j"), 1, 12), 16, 10).cast("long") % F.col("_n")
     taken = draws.select(key, "rep", at.alias("_i")).groupBy(key, "rep", "_i").agg(F.count("*").alias("_times"))
     medians = taken.join(placed.select(key, "_i", value), [key, "_i"]).groupBy(key, "rep").agg(F.percentile(value, 0.5, F.col("_times")).alias("med"))
     a = (1 - level) / 2

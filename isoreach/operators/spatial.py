@@ -12,6 +12,8 @@ from isoreach.functions.shared import through_table
 
 #: Metres of a degree of latitude on the sphere of the distances.
 _DEG_M = math.pi * EARTH_M / 180
+#: Rows of a side that may be broadcast, nine times each.
+FEW = 20_000
 
 
 def _cells(df: DataFrame, lat: str, lon: str, metres: float, widest: float) -> DataFrame:
@@ -36,11 +38,14 @@ def within(left: DataFrame, right: DataFrame, metres: float, left_at: tuple[str,
     Cells are as wide as the radius, so a pair lies in the same or in neighbouring cells; the right side
     (name the smaller one) is copied to nine cells and the join is an equi-join on the cell, which
     Spark splits where a cell is crowded. Rows without a coordinate have no pair. Column names of the
-    sides must differ. Near the 180th meridian pairs across it are not found.
+    sides must differ. Near the 180th meridian pairs across it are not found. A right side of at most FEW
+    rows (counted) goes out by broadcast, so the left one keeps its partitions.
     """
     wide = max(_widest(left, left_at[0]), _widest(right, right_at[0])) + metres / _DEG_M
     a = _cells(left, *left_at, metres, wide)
     b = _around(_cells(right, *right_at, metres, wide))
+    if right.limit(FEW + 1).count() <= FEW:
+        b = F.broadcast(b)
     d = haversine_m(F.col(left_at[0]), F.col(left_at[1]), F.col(right_at[0]), F.col(right_at[1]))
     return a.join(b, ["_cy", "_cx"]).drop("_cy", "_cx").withColumn(distance, d).where(F.col(distance) <= metres)
 

@@ -14,6 +14,7 @@ HALF_LIFE = {"t0": 20.0, "t1": 12.0, "t2": 30.0, "t3": 15.0}
 CONTRIBUTION = {"t0": 10, "t1": 30, "t2": 50, "t3": 5}
 SERVICES = {"s1": (["t0", "t1"], [0.55, 0.45], {(0, 1): 0.07}), "s2": (["t2", "t3"], [0.35, 0.65], {(0, 1): -0.05})}
 RADIUS_M = 15_000.0
+PART_PAIRS = 2_000_000
 
 
 def by_type(values: dict[str, float], col: str = "poi_type") -> Column:
@@ -24,8 +25,14 @@ def by_type(values: dict[str, float], col: str = "poi_type") -> Column:
 
 
 def modal(v: Views) -> DataFrame:
-    """Origins and the places in reach, with minutes by mode."""
-    pairs = spatial.within(v.origins, v.pois, RADIUS_M, ("lat", "lon"), ("plat", "plon"))
+    """Origins and the places in reach, with minutes by mode.
+
+    Origins are dealt by their id into parts of about PART_PAIRS pairs, so with a few places (checked) the
+    aggregations by origin that follow need no further exchange.
+    """
+    origins = v.origins
+    parts = max(v.spark.sparkContext.defaultParallelism, origins.count() * v.pois.count() // PART_PAIRS)
+    pairs = spatial.within(origins.repartition(parts, "node_id"), v.pois, RADIUS_M, ("lat", "lon"), ("plat", "plon"))
     km = F.col("dist_m") / 1000 * 1.3
     bus = F.when((F.col("node_id") + F.col("poi_id")) % 3 == 0, F.lit(0.0)).otherwise(8.0 + 2.5 * F.col("dist_m") / 1000)
     own = {m: decay.impedance(m, km, F.col("gap_o"), F.col("gap_p")) for m in ("walk", "bike", "drive")}
@@ -98,12 +105,12 @@ def agg_06(v):
     return services(v).select("node_id", F.round("s1", 6).alias("s1"), F.round("s2", 6).alias("s2"))
 
 
-@query("fn_05_modal_impedance", "SELECT node_id, poi_id, round(walk, 6) AS walk, round(bike, 6) AS bike, round(drive, 6) AS drive FROM decays WHERE poi_id <= 10")
+@query("fn_05_modal_impedance", "SELECT node_id, poi_id, round(walk, 6) AS walk, round(bike, 6) AS bike, round(drive, 6) AS drive FROM decays")
 def fn_05(v):
     return modal(v).select("node_id", "poi_id", *(F.round(m, 6).alias(m) for m in ("walk", "bike", "drive")))
 
 
-@query("fn_03_decay", "SELECT node_id, poi_id, round(dw, 6) AS dw, round(db, 6) AS db, round(dd, 6) AS dd, round(dt, 6) AS dt FROM decays WHERE poi_id <= 10")
+@query("fn_03_decay", "SELECT node_id, poi_id, round(dw, 6) AS dw, round(db, 6) AS db, round(dd, 6) AS dd, round(dt, 6) AS dt FROM decays")
 def fn_03(v):
     return decays(v).select("node_id", "poi_id", *(F.round(m, 6).alias(m) for m in ("dw", "db", "dd", "dt")))
 
@@ -111,8 +118,8 @@ def fn_03(v):
 @query(
     "win_01_modal_rank",
     """SELECT node_id, poi_id, mode, d, rank FROM (SELECT node_id, poi_id, mode, round(d, 6) AS d, row_number() OVER (PARTITION BY node_id, poi_id ORDER BY d DESC, idx)::INTEGER AS rank FROM (
-    SELECT node_id, poi_id, 'walk' AS mode, 0 AS idx, dw AS d FROM decays WHERE poi_id <= 10 UNION ALL SELECT node_id, poi_id, 'bike', 1, db FROM decays WHERE poi_id <= 10
-    UNION ALL SELECT node_id, poi_id, 'drive', 2, dd FROM decays WHERE poi_id <= 10 UNION ALL SELECT node_id, poi_id, 'bus', 3, dt FROM decays WHERE poi_id <= 10))""",
+    SELECT node_id, poi_id, 'walk' AS mode, 0 AS idx, dw AS d FROM decays UNION ALL SELECT node_id, poi_id, 'bike', 1, db FROM decays
+    UNION ALL SELECT node_id, poi_id, 'drive', 2, dd FROM decays UNION ALL SELECT node_id, poi_id, 'bus', 3, dt FROM decays))""",
 )
 def win_01(v):
     cols = ["dw", "db", "dd", "dt"]
@@ -125,7 +132,7 @@ def win_01(v):
     "fn_30_breakdown",
     """SELECT node_id, poi_id, round(dw / rw, 6) AS walk, round(db / rb, 6) AS bike, round(dd / rd, 6) AS drive, round(dt / rt, 6) AS bus FROM (SELECT *,
     1 + (db > dw)::INT + (dd > dw)::INT + (dt > dw)::INT AS rw, 1 + (dw >= db)::INT + (dd > db)::INT + (dt > db)::INT AS rb,
-    1 + (dw >= dd)::INT + (db >= dd)::INT + (dt > dd)::INT AS rd, 1 + (dw >= dt)::INT + (db >= dt)::INT + (dd >= dt)::INT AS rt FROM decays WHERE poi_id <= 10)""",
+    1 + (dw >= dd)::INT + (db >= dd)::INT + (dt > dd)::INT AS rd, 1 + (dw >= dt)::INT + (db >= dt)::INT + (dd >= dt)::INT AS rt FROM decays)""",
 )
 def fn_30(v):
     cols = [F.col(c) for c in ("dw", "db", "dd", "dt")]

@@ -37,8 +37,8 @@ def jn_02(v):
     return _by_distance(spatial.nearest(coords, v.pois, "k", ("klat", "klon"), PAT, "poi_id")).select("klat", "klon", "dist_m")
 
 
-SNAP_SQL = f"""SELECT node_id, place_id, CASE WHEN {{d1}} <= {{d2}} THEN 1 ELSE 2 END AS chosen FROM (SELECT *, qlat + 0.001::DOUBLE AS lat1, qlon AS lon1, qlat AS lat2, qlon - 0.002::DOUBLE AS lon2 FROM origins, places WHERE place_id <= 20)"""
-SNAP_SQL = SNAP_SQL.format(d1=f"round({hav_sql('lat', 'lon', 'lat1', 'lon1')}, 6)", d2=f"round({hav_sql('lat', 'lon', 'lat2', 'lon2')}, 6)")
+SNAP_SQL = f"""SELECT node_id, place_id, CASE WHEN {{d1}} <= {{d2}} THEN 1 ELSE 2 END AS chosen FROM (SELECT *, qlat + 0.001::DOUBLE AS lat1, qlon AS lon1, qlat AS lat2, qlon - 0.002::DOUBLE AS lon2 FROM (SELECT *, {{d0}} AS near FROM origins, places) WHERE near <= 15000)"""
+SNAP_SQL = SNAP_SQL.format(d0=hav_sql('lat', 'lon', 'qlat', 'qlon'), d1=f"round({hav_sql('lat', 'lon', 'lat1', 'lon1')}, 6)", d2=f"round({hav_sql('lat', 'lon', 'lat2', 'lon2')}, 6)")
 
 
 def _options(lat, lon):
@@ -51,7 +51,7 @@ def jn_03(v):
     every = v.places.select("place_id", "qlat", "qlon")
     raw = F.struct(F.col("qlat").alias("lat"), F.col("qlon").alias("lon"))
     best = places.best_candidate(F.col("lat"), F.col("lon"), _options("qlat", "qlon"), raw)
-    return v.origins.crossJoin(every).select("node_id", "place_id", F.when(best["lat"] > F.col("qlat"), F.lit(1)).otherwise(F.lit(2)).alias("chosen"))
+    return spatial.within(v.origins, every, 15_000.0, AT, ("qlat", "qlon")).select("node_id", "place_id", F.when(best["lat"] > F.col("qlat"), F.lit(1)).otherwise(F.lit(2)).alias("chosen"))
 
 
 @query("jn_04_distinct_destinations", f"SELECT DISTINCT place_id, chosen FROM ({SNAP_SQL})")
@@ -173,7 +173,7 @@ def jn_17(v):
     return spatial.within(a, b, 700.0, ("alat", "alon"), ("blat", "blon")).where("i < j").select("i", "j")
 
 
-@query("jn_18_nearest_anchor", f"SELECT place_id, poi_id FROM (SELECT place_id, poi_id, row_number() OVER (PARTITION BY place_id ORDER BY round({hav_sql('qlat', 'qlon', 'plat', 'plon')}, 6), poi_id) AS r FROM places, pois WHERE poi_type = 't1' AND place_id % 5 = 0) WHERE r = 1")
+@query("jn_18_nearest_anchor", f"SELECT place_id, poi_id FROM (SELECT place_id, poi_id, row_number() OVER (PARTITION BY place_id ORDER BY round({hav_sql('qlat', 'qlon', 'plat', 'plon')}, 6), poi_id) AS r FROM places, pois WHERE poi_type = 't1') WHERE r = 1")
 def jn_18(v):
     anchors = v.pois.where("poi_type = 't1'").select("poi_id", "plat", "plon")
     d = F.round(geo.haversine_m(F.col("qlat"), F.col("qlon"), F.col("plat"), F.col("plon")), 6)
@@ -181,7 +181,7 @@ def jn_18(v):
     return places.shortest(near.withColumn("d", d), ["place_id"], ["d", "poi_id"]).select("place_id", "poi_id")
 
 
-@query("jn_19_fragments_in_shape", "SELECT zone_id, count(*) AS n, string_agg(node_id::VARCHAR, ',' ORDER BY node_id) FILTER (node_id <= 50) AS some FROM origins JOIN zones ON zone = zone_id AND lat >= south AND lat < north AND lon >= west AND lon < east GROUP BY zone_id")
+@query("jn_19_fragments_in_shape", "SELECT zone_id, count(*) AS n, string_agg(node_id::VARCHAR, ',' ORDER BY node_id) AS some FROM origins JOIN zones ON zone = zone_id AND lat >= south AND lat < north AND lon >= west AND lon < east GROUP BY zone_id")
 def jn_19(v):
     ring = F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("west", "south"), ("east", "south"), ("east", "north"), ("west", "north"))))
     inside = v.origins.join(F.broadcast(v.zones), (F.col("zone") == F.col("zone_id")) & geo.in_polygon(F.col("lon"), F.col("lat"), ring))
@@ -238,18 +238,30 @@ def jn_25(v):
     return acc.join(weights, "poi_id").join(known, "from_id", "left_semi").groupBy("from_id").agg(F.round(F.sum(F.col("w") * F.col("n")), 6).alias("power"))
 
 
-@query("jn_27_bridge_fragments", f"WITH RECURSIVE e AS (SELECT i AS u, j AS v FROM ({ADJ_SQL}) UNION SELECT j, i FROM ({ADJ_SQL}) UNION SELECT poi_id, poi_id FROM pois), walk(node, c) AS (SELECT u, u FROM e UNION SELECT e.v, walk.c FROM walk JOIN e ON e.u = walk.node) SELECT node AS poi_id, min(c) AS component FROM walk GROUP BY node")
+BRIDGE_SQL = f"""WITH RECURSIVE e AS (SELECT i AS u, j AS v FROM ({ADJ_SQL}) UNION SELECT j, i FROM ({ADJ_SQL}) UNION SELECT poi_id, poi_id FROM pois), walk(node, c) AS (SELECT u, u FROM e UNION SELECT e.v, walk.c FROM walk JOIN e ON e.u = walk.node),
+comp AS (SELECT node, component, plat, plon FROM (SELECT node, min(c) AS component FROM walk GROUP BY node) JOIN pois ON poi_id = node), main AS (SELECT component AS m FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
+SELECT a.component, count(DISTINCT a.node) AS n, round(min({hav_sql('a.plat', 'a.plon', 'b.plat', 'b.plon')}), 6) AS dist_m FROM comp a, comp b, main WHERE a.component <> m AND b.component = m GROUP BY a.component"""
+
+
+@query("jn_27_bridge_fragments", BRIDGE_SQL)
 def jn_27(v):
-    """Components of the adjacency; ``graph.bridges`` joins each to the largest by its shortest link."""
+    """Each fragment of the adjacency with its number of places and its shortest link to the largest one."""
     from isoreach.operators.components import connected_components
 
     comp = connected_components(jn_17(v), "i", "j")
-    return v.pois.select("poi_id").join(comp.withColumnRenamed("node", "poi_id"), "poi_id", "left").select("poi_id", F.coalesce("component", "poi_id").alias("component"))
+    nodes = v.pois.select(F.col("poi_id").alias("node"), F.col("plat").alias("lat"), F.col("plon").alias("lon"))
+    every = nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    sizes = every.groupBy("component").agg(F.count("*").alias("n"))
+    return graph.bridges(nodes, every).join(sizes, "component").select("component", "n", F.round("dist_m", 6).alias("dist_m"))
 
 
-@query("jn_28_all_pairs", "SELECT zone_id, region AS r, n FROM zones, (SELECT count(*) AS n FROM region)")
+@query("jn_28_all_pairs", f"SELECT a.zone_id AS i, b.zone_id AS j, round({hav_sql('a.south', 'a.west', 'b.south', 'b.west')}, 6) AS dist_m FROM zones a, zones b WHERE a.zone_id < b.zone_id")
 def jn_28(v):
-    return v.zones.select("zone_id", F.col("region").alias("r")).crossJoin(v.table("region").agg(F.count("*").alias("n")))
+    """Every two zones with their distance: one row of all zones, a fixed few, meets each."""
+    z = F.struct(F.col("zone_id").alias("j"), F.col("south").alias("lat"), F.col("west").alias("lon"))
+    every = v.zones.agg(F.collect_list(z).alias("every"))
+    pairs = v.zones.join(F.broadcast(every), F.lit(True)).select(F.col("zone_id").alias("i"), "south", "west", F.explode("every").alias("b")).where("i < b.j")
+    return pairs.select("i", "b.j", F.round(geo.haversine_m(F.col("south"), F.col("west"), F.col("b.lat"), F.col("b.lon")), 6).alias("dist_m"))
 
 
 @query("jn_29_point_lookup", f"SELECT from_id, to_id, round(t, 6) AS t FROM ({BEST_OD}) WHERE from_id = 7 AND to_id IN (SELECT to_id FROM od WHERE to_id % 3 = 0)")
@@ -280,8 +292,8 @@ def agg_02(v):
     return graph.shortest_edges(v.edges)
 
 
-ROUTE_SQL = """WITH RECURSIVE e AS (SELECT u, v, min(length_m) AS w FROM edges WHERE u <> v GROUP BY u, v), walk(src, node, d) AS (SELECT n, n, 0.0::DOUBLE FROM (SELECT unnest([0, 17, 101]) AS n)
-UNION SELECT walk.src, e.v, walk.d + e.w FROM walk JOIN e ON e.u = walk.node WHERE walk.d + e.w <= {limit}) SELECT src::BIGINT AS src, node::BIGINT AS node, round(min(d), 6) AS dist FROM walk GROUP BY src, node"""
+ROUTE_SQL = """WITH RECURSIVE e AS (SELECT u, v, min(length_m) AS w FROM edges WHERE u <> v GROUP BY u, v), walk(src, node, d) AS (SELECT n, n, 0.0::DOUBLE FROM (SELECT DISTINCT (node_id * 7) % 200 AS n FROM origins)
+UNION SELECT walk.src, e.v, walk.d + e.w FROM walk JOIN e ON e.u = walk.node WHERE walk.d + e.w <= {limit}) SELECT node_id, src, node, round(dist, 6) AS dist FROM (SELECT src::BIGINT AS src, node::BIGINT AS node, min(d) AS dist FROM walk GROUP BY src, node) JOIN (SELECT node_id, (node_id * 7) % 200 AS src FROM origins) USING (src)"""
 
 
 def _on_graph(v):
@@ -318,7 +330,7 @@ def agg_17(v):
 
 @query(
     "it_02_walk_step",
-    ROUTE_SQL.format(limit=300).replace("SELECT src::BIGINT AS src, node::BIGINT AS node, round(min(d), 6) AS dist FROM walk GROUP BY src, node", "SELECT src::BIGINT AS src, p.poi_id, round((min(d) / 1000 + gap_p) / 5.0::DOUBLE * 60, 6) AS walk, min(d) / 1000 + gap_p <= 0.25 AS in_radius FROM walk JOIN pois p ON (p.poi_id * 7) % 200 = walk.node GROUP BY src, p.poi_id, gap_p"),
+    ROUTE_SQL.format(limit=300).replace("SELECT node_id, src, node, round(dist, 6) AS dist FROM", "SELECT node_id, src, poi_id, round((dist / 1000 + gap_p) / 5.0::DOUBLE * 60, 6) AS walk, dist / 1000 + gap_p <= 0.25 AS in_radius FROM") + " JOIN pois p ON (p.poi_id * 7) % 200 = node",
 )
 def it_02(v):
     """Places on their graph nodes, bounded paths from the origins, and minutes on foot with the last gap."""

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from isoreach.functions import geo, text
+from isoreach.operators import gtfs, spatial
 from isoreach.operators import places as P
-from isoreach.operators import spatial
+from isoreach.operators.scenarios import Profile
 from isoreach.plans.registry import query
 
 # The demonstration's types: clauses by type, in order.
@@ -108,9 +109,7 @@ def flt_14(v):
 @query("flt_15_wheelchair", "SELECT s_suppkey AS stop_id, CASE s_suppkey % 3 WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE '2' END AS flag FROM supplier WHERE s_suppkey % 3 <> 2")
 def flt_15(v):
     flag = F.element_at(F.array(F.lit("0"), F.lit("1"), F.lit("2")), (F.col("s_suppkey") % 3).cast("int") + 1)
-    keep_unknown = True
-    known = F.col("flag").isin("1", "0", "") if keep_unknown else F.col("flag") == "1"
-    return v.table("supplier").select(F.col("s_suppkey").alias("stop_id"), flag.alias("flag")).where(known | F.col("flag").isNull())
+    return v.table("supplier").select(F.col("s_suppkey").alias("stop_id"), flag.alias("flag")).where(gtfs.accessible(F.col("flag")))
 
 
 @query("flt_16_paired_non_null", "SELECT hex_id, round(d, 6) AS diff FROM (SELECT hex_id, CASE WHEN hex_id % 5 = 0 THEN NULL ELSE b END - a AS d FROM scores) WHERE d IS NOT NULL AND d <> 0")
@@ -170,8 +169,11 @@ def flt_23(v):
 
 @query("flt_24_service_dates", "SELECT DISTINCT service_id FROM (SELECT c_custkey AS service_id FROM customer WHERE c_custkey % 7 < 5 UNION SELECT c_custkey FROM customer WHERE c_custkey % 10 = 6) WHERE service_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 15 = 0)")
 def flt_24(v):
+    k = F.col("service_id")
     c = v.table("customer").select(F.col("c_custkey").alias("service_id"))
-    return c.where("service_id % 7 < 5").union(c.where("service_id % 10 = 6")).distinct().join(c.where("service_id % 15 = 0"), "service_id", "left_anti")
+    calendar = c.select("service_id", F.when(k % 7 < 5, "1").otherwise("0").alias("thursday"), F.lit("20250101").alias("start_date"), F.lit("20251231").alias("end_date"))
+    added, removed = (c.where(w).select("service_id", F.lit("20250605").alias("date"), F.lit(t).alias("exception_type")) for w, t in ((k % 10 == 6, "1"), (k % 15 == 0, "2")))
+    return gtfs.active_services(calendar, added.unionByName(removed), "20250605", "thursday")
 
 
 @query("agg_13_specificity", f"SELECT place_id, poi_type, specificity FROM ({CANDS_SQL})")
@@ -229,9 +231,8 @@ def jn_30(v):
 
 @query("fn_20_utility", "SELECT poi_id, CASE WHEN poi_id IN (3, 7) THEN 1.0::DOUBLE WHEN poi_type IN ('t0', 't2') THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END AS utility FROM pois")
 def fn_20(v):
-    canteens, paid, affordability = [3, 7], ["t0", "t2"], 0.4
-    u = F.when(F.col("poi_id").isin(canteens), F.lit(1.0)).when(F.col("poi_type").isin(paid), F.lit(affordability)).otherwise(F.lit(1.0))
-    return v.pois.select("poi_id", u.alias("utility"))
+    student = Profile("student", affordability=0.4, paid_types=("t0", "t2"), canteens=(3, 7))
+    return v.pois.select("poi_id", student.utility("poi_id", "poi_type").alias("utility"))
 
 
 @query("fn_26_type_codes", "SELECT p_partkey AS id, CASE WHEN p_type = 'PROMO' THEN 'F1' WHEN p_type = 'ECONOMY' THEN 'F2' ELSE coalesce(nullif(p_brand, 'Brand#11'), 'F0') END AS code FROM part")

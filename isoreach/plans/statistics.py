@@ -108,7 +108,7 @@ def agg_22(v):
     return best.select("hex_id", F.col("best.cls").alias("modal"), F.round(-F.col("best.n") / 20.0, 6).alias("stability"))
 
 
-@query("agg_23_verdicts", "SELECT zone, round(max(d), 6) AS worst, round(avg(d), 6) AS mean, first(hex_id ORDER BY d DESC, hex_id) AS at, CASE WHEN max(d) >= 20 THEN 'sensitive' WHEN max(d) >= 5 THEN 'moderate' ELSE 'robust' END AS verdict FROM (SELECT hex_id, hex_id % 37 AS zone, round(abs(b - a) * 100, 9) AS d FROM scores WHERE hex_id % 11 < 3) GROUP BY zone")
+@query("agg_23_verdicts", "SELECT zone, round(max(d), 6) AS worst, round(avg(d), 6) AS mean, first(hex_id ORDER BY d DESC, hex_id) AS at, CASE WHEN max(d) >= 20 THEN 'sensitive' WHEN max(d) >= 5 THEN 'moderate' ELSE 'robust' END AS verdict FROM (SELECT hex_id, hex_id % 37 AS zone, round(abs(b - a) * 100, 9) AS d FROM scores) GROUP BY zone")
 def agg_23(v):
     rows = v.scores.select("hex_id", (F.col("hex_id") % 37).alias("zone"), F.round(F.abs(F.col("b") - F.col("a")) * 100, 9).alias("d"))
     verdict = F.when(F.max("d") >= 20, F.lit("sensitive")).when(F.max("d") >= 5, F.lit("moderate")).otherwise(F.lit("robust"))
@@ -118,7 +118,7 @@ def agg_23(v):
 @query(
     "agg_24_bootstrap_ci",
     """WITH d AS (SELECT cap, b - a AS x, row_number() OVER (PARTITION BY cap ORDER BY hex_id) - 1 AS i, count(*) OVER (PARTITION BY cap) AS n FROM scores),
-    draws AS (SELECT d.cap, rep, x FROM (SELECT DISTINCT cap, n FROM d) g, (SELECT unnest(range(0, 40)) AS rep), LATERAL (SELECT unnest(range(0, n)) AS j) j JOIN d ON d.cap = g.cap AND d.i = (rep * 7919 + j.j * 104729 + rep * j.j * 31) % g.n),
+    draws AS (SELECT d.cap, rep, x FROM (SELECT DISTINCT cap, n FROM d) g, (SELECT unnest(range(0, 40)) AS rep), LATERAL (SELECT unnest(range(0, n)) AS j) j JOIN d ON d.cap = g.cap AND d.i = ('0x' || md5(rep || ':' || j.j)[1:12])::BIGINT % g.n),
     m AS (SELECT cap, rep, median(x) AS med FROM draws GROUP BY cap, rep) SELECT cap, round(quantile_cont(med, 0.025), 4) AS lo, round(quantile_cont(med, 0.975), 4) AS hi FROM m GROUP BY cap""",
 )
 def agg_24(v):
@@ -138,7 +138,7 @@ def agg_25(v):
     "agg_25_block_permutation",
     """WITH d AS (SELECT cap, round(b - a, 9) AS x, floor(lon * 111320.0::DOUBLE * cos(radians(39.22::DOUBLE)) / 500)::BIGINT * 100000 + floor(lat * 111320.0::DOUBLE / 500)::BIGINT AS block FROM scores WHERE round(b - a, 9) <> 0),
     r AS (SELECT *, (rank() OVER (PARTITION BY cap ORDER BY abs(x)) + (count(*) OVER (PARTITION BY cap, abs(x)) - 1) / 2.0::DOUBLE) * sign(x) AS s FROM d), wb AS (SELECT cap, block, sum(s) AS s FROM r GROUP BY cap, block),
-    p AS (SELECT cap, rep, sum(s * CASE WHEN (block % 1000003 * 7919 + rep * 104729 + (block % 997) * rep) % 2 = 0 THEN 1 ELSE -1 END) AS w FROM wb, (SELECT unnest(range(0, 99)) AS rep) GROUP BY cap, rep),
+    p AS (SELECT cap, rep, sum(s * CASE WHEN md5(block || ':' || rep)[1:1] < '8' THEN 1 ELSE -1 END) AS w FROM wb, (SELECT unnest(range(0, 99)) AS rep) GROUP BY cap, rep),
     o AS (SELECT cap, sum(s) AS w0, count(*) AS n_blocks FROM wb GROUP BY cap) SELECT o.cap, o.n_blocks, round((1.0::DOUBLE + count(*) FILTER (abs(p.w) >= abs(o.w0) - 1e-6)) / 100, 6) AS p_value FROM o JOIN p ON p.cap = o.cap GROUP BY o.cap, o.n_blocks""",
 )
 def agg_25_block(v):
@@ -328,10 +328,10 @@ def top_03(v):
     return near.withColumn("r", F.row_number().over(Window.partitionBy("node_id").orderBy(F.round("dist_m", 6), "poi_id"))).where("r <= 3").select("node_id", "poi_id", "r")
 
 
-@query("top_04_seeded_sample")
+@query("top_04_seeded_sample", "SELECT node_id FROM origins ORDER BY md5('42:' || node_id), node_id LIMIT 100")
 def top_04(v):
     """100 nodes in the order of a hash with a seed."""
-    return v.origins.orderBy(F.xxhash64("node_id", F.lit(42)), "node_id").limit(100).select("node_id")
+    return v.origins.orderBy(F.md5(F.concat_ws(":", F.lit(42), "node_id").cast("binary")), "node_id").limit(100).select("node_id")
 
 
 @query("top_05_stride", "SELECT zone, node_id FROM (SELECT zone, node_id, row_number() OVER (PARTITION BY zone ORDER BY node_id) AS r FROM origins) WHERE r % 5 = 0")
@@ -399,7 +399,7 @@ def it_08(v):
     return rows.groupBy("params_id", "cap").agg(F.round(F.avg(F.when(changed, 100.0).otherwise(0.0)), 6).alias("pct_changed"))
 
 
-@query("it_09_cross_check", "SELECT 0::BIGINT AS mismatches")
+@query("it_09_cross_check", "SELECT node_id, cls, cls AS other FROM (SELECT node_id, CASE " + " ".join(f"WHEN {_CREDS[k]} >= {_LEAN!r}::DOUBLE THEN {k + 1}" for k in (3, 2, 1, 0)) + " ELSE 0 END AS cls FROM criteria)")
 def it_09(v):
     """The class by column expressions against the class by a long table of criteria and bounds."""
     direct = v.criteria.select("node_id", M.outrank_class(cols(), W, cut=_LEAN, constant=False).alias("cls"))
@@ -408,4 +408,4 @@ def it_09(v):
     one = F.when(F.col("x") - F.col("b") >= -M.Q, 1.0).when(F.col("x") - F.col("b") > -M.P, (F.col("x") - F.col("b") + M.P) / (M.P - M.Q)).otherwise(0.0)
     cred = long.groupBy("node_id", "k").agg(F.avg(one).alias("c"))
     other = cred.groupBy("node_id").agg(F.coalesce(F.max(F.when(F.col("c") >= _LEAN, F.col("k") + 1)), F.lit(0)).alias("other"))
-    return direct.join(other, "node_id").agg(F.count_if(F.col("cls") != F.col("other")).alias("mismatches"))
+    return direct.join(other, "node_id", "full_outer").select("node_id", "cls", "other")

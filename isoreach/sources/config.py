@@ -15,8 +15,8 @@ def _csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def list_literal(cell: Column, kind: str) -> Column:
-    """A list written with square brackets and single or double quotes."""
-    return F.from_json(F.regexp_replace(F.regexp_replace(cell, "'", '"'), r"\bNone\b", "null"), f"array<{kind}>")
+    """A list written with square brackets and single or double quotes; an apostrophe within a text stays."""
+    return F.from_json(F.regexp_replace(F.regexp_replace(cell, r"(?<=[\[,]\s{0,9})'|'(?=\s*[,\]])", '"'), r"\bNone\b", "null"), f"array<{kind}>")
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
