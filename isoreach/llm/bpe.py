@@ -252,6 +252,19 @@ def ragged(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]), dtype=kind) + np.repeat((at - (ends - n)).astype(kind), n)
 
 
+def gather(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """flat[ragged(at, n)] with indexes for about HASH_BYTES elements at a time."""
+    ends = np.cumsum(n)
+    out = np.empty(int(ends[-1]) if len(n) else 0, flat.dtype)
+    k = 0
+    while k < len(n):
+        base = int(ends[k] - n[k])
+        to = max(k + 1, int(np.searchsorted(ends, base + HASH_BYTES, side="right")))
+        out[base : int(ends[to - 1])] = flat[ragged(at[k:to], n[k:to])]
+        k = to
+    return out
+
+
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
 

@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from isoreach.llm.blocks import tidy, trim
-from isoreach.llm.bpe import Codec, piece_hashes, piece_starts, ragged, same_bytes
+from isoreach.llm.bpe import Codec, gather, piece_hashes, piece_starts, ragged, same_bytes
 
 CHUNK_BYTES = 8 << 20
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 class _Pieces:
@@ -56,8 +56,9 @@ class _Pieces:
             self.which = np.empty(len(h), np.int64)
             self.which[order] = np.cumsum(new) - 1
             u = h[first]
-        h = u
-        self.bucket = (h % np.uint64(buckets)).astype(np.int64)
+        del h
+        self.which = self.which.astype(np.int32)
+        self.bucket = (u % np.uint64(buckets)).astype(np.int64)
         self.order = np.argsort(self.bucket, kind="stable")
         self.at, self.n = starts[first], self.size[first]
 
@@ -194,18 +195,18 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         p.forget()
         # the distinct pieces decoded, each once, from their ids
         piece_at, piece_len, piece_flat = codec.piece_table()
-        shown = piece_flat[ragged(piece_at[flat], piece_len[flat])]
+        shown = gather(piece_flat, piece_at[flat], piece_len[flat])
         before = np.concatenate([[0], np.cumsum(piece_len[flat])])
         shown_at, shown_n = before[at], before[at + count] - before[at]
-        ids = flat[ragged(at[p.which], count[p.which])]
-        decoded = shown[ragged(shown_at[p.which], shown_n[p.which])]
+        ids = gather(flat, at[p.which], count[p.which]).astype(np.int32)
+        decoded = gather(shown, shown_at[p.which], shown_n[p.which])
         edges = np.concatenate([[0], np.cumsum(p.of_text)])
         by_text = lambda n: np.concatenate([[0], np.cumsum(n[p.which])])[edges].astype(np.int32)
         text = pa.Array.from_buffers(pa.string(), len(p.of_text), [None, pa.py_buffer(by_text(shown_n)), pa.py_buffer(decoded)])
         doc_ids = pa.chunked_array([b.column(0) for b in batches], type=batches[0].column(0).type if batches else left_type)
         times = pa.chunked_array([b.column(2) for b in batches], type=pa.int64())
         trim()
-        return pa.table({"doc_id": doc_ids, "times": times, "ids": pa.ListArray.from_arrays(pa.array(by_text(count)), pa.array(ids.astype(np.int32))), "decoded": text})
+        return pa.table({"doc_id": doc_ids, "times": times, "ids": pa.ListArray.from_arrays(pa.array(by_text(count)), pa.array(ids)), "decoded": text})
 
     left_type = to_arrow_type(docs.schema[id_col].dataType)
     parts = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).mapInArrow(tidy(packed), "chunk long, docs binary").repartition("chunk")
