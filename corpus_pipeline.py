@@ -49,7 +49,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null texts have no ids and decode to the empty text; repeated and null ids keep their rows."""
     small_batches(spark)
-    out = bpe_table.encode_decode(docs, tokenizer_path())
+    out = bpe_table.encode_decode(docs, tokenizer_path(), chunk_bytes=4 << 20)  # half the default: workers of earlier stages hold memory too
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
