@@ -10,13 +10,11 @@ T log T, and documents with an empty coordinate are thrown again to twice the ra
 Signatures are joined in bands. Documents with equal shingles are one class before that. Within a band
 bucket every document meets one hub, another hub in each band, which is linear in the bucket; pairs are
 verified exactly on their shingles. Buckets that still hold several classes are then compared in
-blocks: by signature, which members may resemble one of another class, and exactly among those. A bucket
-of over HOT_BLOCKS blocks is first parted by every other band of its members, so that only those that
-share two bands meet; what is large even then is compared block by block all the same.
+blocks: by signature, which members may resemble one of another class, and exactly among those. The
+blocks of a large bucket with several classes all meet, so its cost grows with the square of its blocks.
 
-A pair of similarity 0.8 is lost with a chance of about 0.0001 in the bands (0.001 in a bucket that is
-parted), and of about 1e-8 where the signatures say that it cannot pass (MAY_PASS). Classes are the
-connected components.
+A pair of similarity 0.8 is lost with a chance of about 0.0001 in the bands, and of about
+1e-8 where the signatures say that it cannot pass (MAY_PASS). Classes are the connected components.
 """
 
 from __future__ import annotations
@@ -39,7 +37,6 @@ THRESHOLD = 0.8
 #: Below the threshold by over six standard deviations of an estimate from 120 coordinates.
 MAY_PASS = 0.56
 BLOCK = 1024
-HOT_BLOCKS = 4
 #: Ids that a Bloom filter is made for, and its bits for each.
 FILTER_IDS, FILTER_BITS = 4_000_000, 10
 SKETCH_BYTES = 4 << 20
@@ -275,15 +272,6 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     return spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
 
 
-def _parted(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Members of large buckets in a bucket for each two bands that they share, where it holds several components: bucket, n, rep, component."""
-    other = reps.select("rep", F.explode("bands").alias("other"))
-    two = members.join(other, "rep").where("other <> bucket").select(F.least("bucket", "other").alias("x"), F.greatest("bucket", "other").alias("y"), "rep", "component").distinct()
-    two = through_table(two.select(F.xxhash64("x", "y").alias("bucket"), "rep", "component"), "parted")
-    sizes = through_table(two.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "n"), "parted-sizes")
-    return join_hot(two, sizes, ["bucket"], "n").select("bucket", "n", "rep", "component")
-
-
 def _sides(key, table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     ids, comp, own = (np.asarray(table.column(c)) for c in ("rep", "component", "own"))
     i, j = key[1].as_py(), key[2].as_py()
@@ -346,9 +334,7 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, thresho
     named = through_table(shared.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("bucket", "n", "rep", "component"), "named")
     mixed = through_table(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2").select("bucket", "m"), "mixed")
     open_ = through_table(join_hot(named, mixed, ["bucket"], "m").drop("m"), "open")
-    large = open_.where(F.col("n") > HOT_BLOCKS * BLOCK)
-    near = open_.where(F.col("n") <= HOT_BLOCKS * BLOCK).unionByName(_parted(large, reps))
-    maybe = through_table(_in_blocks(near).join(sigs, "rep").groupBy("bucket", "i", "j").applyInArrow(_resembling, "bucket long, rep long, component long").distinct(), "resembling")
+    maybe = through_table(_in_blocks(open_).join(sigs, "rep").groupBy("bucket", "i", "j").applyInArrow(_resembling, "bucket long, rep long, component long").distinct(), "resembling")
     if not maybe.isEmpty():
         lists = _lists(texts, reps, maybe.select("rep").distinct(), width)
         sizes = through_table(maybe.groupBy("bucket").agg(F.count("*").alias("n")), "resembling-sizes")
