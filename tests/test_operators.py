@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isoreach.functions import geo, text
-from isoreach.operators import checks, decay, graph, grid, gtfs, places, scaling, scenarios, spatial
+from isoreach.operators import checks, components, decay, graph, grid, gtfs, places, scaling, scenarios, spatial
 from isoreach.operators import multicriteria as M
 from isoreach.operators.components import connected_components
 from isoreach.sinks import tables as sinks
@@ -115,6 +115,20 @@ def test_distance_joins_against_brute_force(spark):
     assert spatial.nearest(a, b.limit(0), "i", ("lat", "lon"), ("plat", "plon"), "j").count() == 0
 
 
+@pytest.mark.parametrize("small", [components.SMALL, 0])
+def test_components_equal_union_find(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
+    rng = random.Random(3)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(k, k + 1) for k in range(200, 230)] + [(300, 300), (5, 5), (None, 4)]
+    of = {n: n for e in edges if None not in e for n in e}
+    for _ in range(len(of)):
+        for a, b in edges:
+            if a is not None:
+                of[a] = of[b] = min(of[a], of[b])
+    got = connected_components(spark.createDataFrame(edges, "u long, v long"), "u", "v").collect()
+    assert len(got) == len(of) and {r.node: r.component for r in got} == of
+
+
 def test_components_paths_and_bridges(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3), (5, 4)], "u long, v long")
     got = {r.node: r.component for r in connected_components(edges, "u", "v").collect()}
