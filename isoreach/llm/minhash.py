@@ -294,11 +294,11 @@ def _resembling(key, table):
 
 def _joining(threshold: float):
     def joined(key, table):
-        """Links that join the classes of two blocks: one for each two classes that a passing pair connects, at most."""
+        """Links a, b that join the classes ca, cb of two blocks: one for each two classes that a passing pair connects, at most."""
         ids, comp, left, right = _sides(key, table)
         lists = [_unpack(x) for x in table.column("list").to_pylist()]
         if not len(left) or not len(right):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "ca", "cb")})
         size = np.array([len(x) for x in lists], np.float32)
         common = _common(lists, left, right)
         passing = (common >= threshold * (size[left][:, None] + size[right][None, :] - common) - 1e-3) & (comp[left][:, None] != comp[right][None, :])
@@ -306,7 +306,7 @@ def _joining(threshold: float):
         pair = np.stack([np.minimum(comp[left[x]], comp[right[y]]), np.maximum(comp[left[x]], comp[right[y]])], 1)
         first = np.unique(pair, axis=0, return_index=True)[1] if len(pair) else np.zeros(0, np.int64)
         a, b = ids[left[x[first]]], ids[right[y[first]]]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "ca": pa.array(comp[left[x[first]]]), "cb": pa.array(comp[right[y[first]]])})
 
     return joined
 
@@ -338,9 +338,11 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, thresho
     if not maybe.isEmpty():
         lists = _lists(texts, reps, maybe.select("rep").distinct(), width)
         sizes = through_table(maybe.groupBy("bucket").agg(F.count("*").alias("n")), "resembling-sizes")
-        more = _in_blocks(join_hot(maybe, sizes, ["bucket"], "n")).join(lists, "rep").groupBy("bucket", "i", "j").applyInArrow(_joining(threshold), "a long, b long")
-        links = through_table(links.unionByName(more).distinct(), "links")
-        first = through_table(connected_components(links, "a", "b"), "classes")
+        more = _in_blocks(join_hot(maybe, sizes, ["bucket"], "n")).join(lists, "rep").groupBy("bucket", "i", "j").applyInArrow(_joining(threshold), "a long, b long, ca long, cb long")
+        more = through_table(more, "class-links")
+        links = through_table(links.unionByName(more.select("a", "b")).distinct(), "links")
+        # The classes found are stars already; only their roots have to be joined.
+        first = through_table(connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "a", "b"), "classes")
     return links, first
 
 
