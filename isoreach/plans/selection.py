@@ -57,8 +57,10 @@ def flt_05(v):
 
 @query("flt_06_in_radius_flag", "SELECT node_id, count(*) AS n, count(*) FILTER (dist_m + gap_p * 1000 <= 1500) AS n_in FROM hav_pairs WHERE dist_m <= 1500 GROUP BY node_id")
 def flt_06(v):
-    near = spatial.within(v.origins, v.pois, 1500.0, ("lat", "lon"), ("plat", "plon")).withColumn("in_radius", F.col("dist_m") + F.col("gap_p") * 1000 <= 1500)
-    return near.groupBy("node_id").agg(F.count("*").alias("n"), F.count_if("in_radius").alias("n_in"))
+    few = spatial.alike(v.origins, "node_id", ["lat", "lon"], count="n_origins")
+    near = spatial.within(few, spatial.alike(v.pois, "poi_id", ["plat", "plon", "gap_p"]), 1500.0, ("lat", "lon"), ("plat", "plon"))
+    n_in = F.sum(F.when(F.col("dist_m") + F.col("gap_p") * 1000 <= 1500, F.col("n")).otherwise(0))
+    return spatial.to_all(near.groupBy("node_id").agg(F.sum("n").alias("n"), n_in.alias("n_in")), v.origins, few, "node_id", ["lat", "lon"])
 
 
 @query("flt_07_any_origin_in_radius", "SELECT poi_id FROM pois WHERE poi_id IN (SELECT poi_id FROM hav_pairs WHERE dist_m <= 400)")
