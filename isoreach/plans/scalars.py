@@ -220,11 +220,12 @@ def scenario_strike(v):
 @query("scenario_neighbourhood_loss", "SELECT node_id, count(*) AS n FROM modal WHERE NOT (plat > 39.2::DOUBLE AND plat < 39.24::DOUBLE AND plon > 9.08::DOUBLE AND plon < 9.14::DOUBLE AND poi_type = 't1') GROUP BY node_id")
 def scenario_loss(v):
     from isoreach.operators.scenarios import NeighbourhoodLoss
-    from isoreach.plans.capability import modal
+    from isoreach.plans.capability import for_origins
 
     ring = [(9.08, 39.2), (9.14, 39.2), (9.14, 39.24), (9.08, 39.24)]
     drop = NeighbourhoodLoss(ring, ["t1"]).drops(v.pois, "poi_id", "poi_type", "plon", "plat")
-    return modal(v).join(drop, ["poi_id", "poi_type"], "left_anti").groupBy("node_id").agg(F.count("*").alias("n"))
+    kept = v.pois.join(drop, ["poi_id", "poi_type"], "left_anti")
+    return for_origins(v, lambda pairs: pairs.groupBy("node_id").agg(F.sum("n").alias("n")), kept)
 
 
 
