@@ -52,7 +52,8 @@ def flt_04(v):
 
 @query("flt_05_source_radius", "SELECT node_id, poi_id, round(dist_m, 6) AS dist_m FROM hav_pairs WHERE dist_m <= 1500")
 def flt_05(v):
-    return spatial.within(v.origins, v.pois, 1500.0, ("lat", "lon"), ("plat", "plon")).select("node_id", "poi_id", F.round("dist_m", 6).alias("dist_m"))
+    near = spatial.within_alike(v.origins, v.pois, 1500.0, ("lat", "lon"), ("plat", "plon"), "node_id", "poi_id")
+    return spatial.each_pair(near.select("left_ids", "right_ids", F.round("dist_m", 6).alias("dist_m")), left_ids="node_id", right_ids="poi_id")
 
 
 @query("flt_06_in_radius_flag", "SELECT node_id, count(*) AS n, count(*) FILTER (dist_m + gap_p * 1000 <= 1500) AS n_in FROM hav_pairs WHERE dist_m <= 1500 GROUP BY node_id")
