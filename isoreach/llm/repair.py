@@ -31,7 +31,11 @@ BLOCK_IDS = 1 << 19
 LEAST_USES = 8
 SHARE = 32
 _HEAD = struct.Struct("<4sIIIIQ")
-_SLOTS = 1 << 18
+#: Pairs of up to so many occurrences are served one by one if any of them has too few uses apart from the others.
+FEW_USES = 1 << 15
+#: Bits of a place of the hash tables of pairs, at most, and the factors of either table.
+_SLOT_BITS = 18
+_FACTORS = (0x9E3779B1, 0x85EBCA6B), (0xC2B2AE35, 0x27D4EB2F)
 #: Bytes of the table for a partition of the files.
 PARTITION_BYTES = 128 << 20
 MOST_PARTITIONS = 100_000
@@ -41,74 +45,116 @@ SMALL_BLOCKS = 500_000
 
 def _apart(at: np.ndarray) -> np.ndarray:
     """Of ascending places those where no other begins one place before: in a run every other one, from the left."""
-    run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-    first = np.repeat(run, np.diff(run, append=len(at)))
-    return ((np.arange(len(at)) - first) & 1) == 0
+    first = np.ones(len(at), bool)
+    first[1:] = at[1:] - at[:-1] != 1
+    run = np.flatnonzero(first)
+    odd = (at & 1).astype(bool)
+    return odd == np.repeat(odd[run], np.diff(run, append=len(at)))
 
 
-def frequent_pairs(s: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs as left << 32 | right, place of each occurrence, pair of each occurrence) of the pairs with enough uses.
+def _slots(left: np.ndarray, right: np.ndarray, factors: tuple[int, int], bits: int) -> np.ndarray:
+    return ((left * np.uint32(factors[0]) ^ right * np.uint32(factors[1])) >> np.uint32(32 - bits)).astype(np.intp)
 
-    A place of the hash table rules out what is rare; where one holds several pairs these are counted
-    one by one. Enough is ``least``, and one in SHARE of the most that a place of the table holds.
+
+def frequent_pairs(s: np.ndarray, least: int, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs as left << 32 | right, place of each occurrence, pair of each occurrence) of the pairs with enough uses; places.
+
+    ``live`` are the ascending places of all pairs that may have ``least`` uses; the last result are those
+    of them that still may. A place of either hash table rules out what is rare; where one holds several
+    pairs these are counted one by one. Enough is ``least``, and one in SHARE of the most that a place of
+    the first table holds. A pair that overlaps itself needs ``least`` uses that do not.
     """
-    left, right = s[:-1], s[1:]
-    h = ((left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA6B)) >> np.uint32(14)).astype(np.int32)
-    count = np.bincount(h, minlength=_SLOTS)
+    after = s[1:]
+    bits = min(max(len(live).bit_length() + 1, 10), _SLOT_BITS)
+    h = _slots(s.take(live), after.take(live), _FACTORS[0], bits)
+    count = np.bincount(h, minlength=1 << bits)
     limit = max(least, int(count.max()) // SHARE)
     while True:
-        at = np.flatnonzero((count >= limit)[h])
-        slot = h[at]
-        pair = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        name, mixed = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, bool)
+        at = live[(count >= limit).take(h)]
+        slot = _slots(s.take(at), after.take(at), _FACTORS[1], bits)
+        held = (np.bincount(slot, minlength=1 << bits) >= limit).take(slot)
+        at, slot = at[held], slot[held]
+        pair = s.take(at).astype(np.uint64)
+        pair <<= np.uint64(32)
+        pair |= after.take(at)
+        name, mixed = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, bool)
         name[slot] = pair
-        mixed[slot[name[slot] != pair]] = True
-        alone = np.flatnonzero((count >= limit) & ~mixed)
-        number = np.full(_SLOTS, -1, np.int32)
+        mixed[slot[name.take(slot) != pair]] = True
+        full = np.zeros(1 << bits, bool)
+        full[slot] = True
+        alone = np.flatnonzero(full & ~mixed)
+        number = np.full(1 << bits, -1, np.int32)
         number[alone] = np.arange(len(alone), dtype=np.int32)
-        which = number[slot]
-        rest = np.flatnonzero(mixed[slot])
+        which = number.take(slot)
+        rest = np.flatnonzero(mixed.take(slot))
         more, back, n = np.unique(pair[rest], return_inverse=True, return_counts=True)
-        held = n >= limit
-        which[rest] = np.where(held, len(alone) + np.cumsum(held) - 1, -1)[back]
-        if len(alone) or held.any() or limit == least:
-            own = which >= 0
-            return np.concatenate([name[alone], more[held]]), at[own], which[own]
+        good = n >= limit
+        which[rest] = np.where(good, len(alone) + np.cumsum(good) - 1, -1)[back]
+        pairs = np.concatenate([name[alone], more[good]])
+        del slot, pair, rest, back  # a block of one long text may be large
+        of = which >= 0
+        at, which = at[of], which[of]
+        twin = pairs >> np.uint64(32) == pairs & np.uint64(0xFFFFFFFF)
+        own = np.flatnonzero(twin[which])
+        weak = twin & (np.bincount(which[own[_apart(at[own])]], minlength=len(pairs)) < least)
+        if not weak.all() or limit == least:
+            alive = live[(count >= least).take(h)]
+            if weak.any():
+                stay = ~weak[which]
+                alive = np.delete(alive, np.searchsorted(alive, at[~stay]))
+                pairs, at, which = pairs[~weak], at[stay], (np.cumsum(~weak) - 1)[which[stay]]
+            return pairs, at, which, alive
         limit = max(least, limit // SHARE)
 
 
+def _one_by_one(pair: np.ndarray, at: np.ndarray, which: np.ndarray, size: int, least: int) -> np.ndarray:
+    """Of occurrences those to replace if pairs are served one after the other, the most frequent first."""
+    taken, free = np.zeros(size, bool), np.zeros(len(at), bool)
+    n = np.bincount(which, minlength=len(pair))
+    order, ends = np.argsort(which, kind="stable"), np.cumsum(n).tolist()
+    twin = (pair >> np.uint64(32) == pair & np.uint64(0xFFFFFFFF)).tolist()
+    for p in np.argsort(-n, kind="stable").tolist():
+        own = order[ends[p - 1] if p else 0 : ends[p]]
+        x = at[own]
+        own = own[~(taken[x] | taken[x + 1])]
+        if twin[p]:
+            own = own[_apart(at[own])]
+        if len(own) >= least:
+            free[own] = True
+            x = at[own]
+            taken[x] = taken[x + 1] = True
+    return free
+
+
 def compress(ids: np.ndarray, terminals: int, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray]:
-    """(rules as rows left, right; symbols). ids are below ``terminals``; rule k is the symbol terminals + k."""
+    """(rules as rows left, right; symbols). ids are below ``terminals``; rule k is the symbol terminals + k.
+
+    A replacement makes pairs with the new symbol only and takes uses from all others, so a pair found
+    rare stays rare: a round looks at the places of the pairs that were not, and beside the new symbols.
+    """
     s = ids.astype(np.uint32)
     rules: list[np.ndarray] = [np.zeros((0, 2), np.uint32)]
     made = 0
-    while len(s) >= 2 * least:
-        pair, at, which = frequent_pairs(s, least)
+    live = np.arange(max(len(s) - 1, 0))
+    while len(live) >= least:
+        pair, at, which, live = frequent_pairs(s, least, live)
         if not len(pair):
             break
         free = _apart(at)
         uses = np.bincount(which[free], minlength=len(pair))
-        if uses.max() < least:  # they overlap one another: one pair after the other, the most frequent first
-            taken = np.zeros(len(s), bool)
-            free = np.zeros(len(at), bool)
-            for p in np.argsort(-np.bincount(which, minlength=len(pair)), kind="stable").tolist():
-                own = np.flatnonzero(which == p)
-                own = own[~taken[at[own]] & ~taken[at[own] + 1]]
-                own = own[_apart(at[own])]
-                if len(own) >= least:
-                    free[own] = True
-                    taken[at[own]] = taken[at[own] + 1] = True
+        if uses.max() < least or len(at) <= FEW_USES and (uses < least).any():  # they overlap one another
+            free = _one_by_one(pair, at, which, len(s), least)
             uses = np.bincount(which[free], minlength=len(pair))
-            if not free.any():
-                break
         good = uses >= least
         free &= good[which]
         at = at[free]
-        s = s.copy()
         s[at] = (terminals + made + np.cumsum(good) - 1).astype(np.uint32)[which[free]]
-        keep = np.ones(len(s), bool)
+        keep, near = np.ones(len(s), bool), np.zeros(len(s), bool)
         keep[at + 1] = False
-        s = s[keep]
+        near[live] = near[at] = near[np.maximum(at - 1, 0)] = True
+        s, near = s[keep], near[keep]
+        near[-1] = False
+        live = np.flatnonzero(near)
         rules.append(np.stack([pair[good] >> np.uint64(32), pair[good] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         made += int(good.sum())
     return np.concatenate(rules), s

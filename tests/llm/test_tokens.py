@@ -130,6 +130,37 @@ def test_repeated_pairs_become_rules():
     assert len(rules) and len(symbols) < 20
 
 
+def test_pairs_that_overlap_themselves_hide_no_others():
+    a, b, apart = 0x9E3779B1, 0x85EBCA6B, iter(range(1 << 20, 1 << 21))
+    data = [x for _ in range(5) for x in (0, 0, 0, next(apart))]  # ten uses of (0, 0), five that do not overlap
+    low = np.arange(1 << 14, dtype=np.uint64)
+    for left in range(1, 41):  # pairs of eight uses at one place of a table of 18 bits
+        right = (left * a % 2**32 ^ (77 << 14 | low)) * np.uint64(pow(b, -1, 2**32)) % np.uint64(2**32)
+        right = int(right[(right > 1000) & (right < 1 << 20)][0])
+        data += [x for _ in range(8) for x in (left, right, next(apart))]
+    data = np.array(data, np.uint32)
+    live = repair.frequent_pairs(data, 8, np.arange(len(data) - 1))[3].tolist()
+    assert set(live) >= set(range(20, len(data), 3)) and not any(data[k] == data[k + 1] for k in live)
+    rules, symbols = repair.compress(data, 1 << 21, 8)
+    assert len(rules) == 40
+    s = symbols.tolist()
+    assert all(uses_by_force(s, p) < 8 for p in set(zip(s, s[1:])))
+
+
+def test_rounds_look_at_few_places(monkeypatch):
+    data = np.minimum(np.random.default_rng(5).zipf(1.3, 100_000), 49_999)
+    inner, seen = repair.frequent_pairs, []
+
+    def counted(s, least, *places):
+        seen.append(len(places[0]) if places else len(s) - 1)
+        return inner(s, least, *places)
+
+    monkeypatch.setattr(repair, "frequent_pairs", counted)
+    g = repair.Grammar(repair.to_payload(data, 50_000))
+    assert g.ids().tolist() == data.tolist()
+    assert sum(seen) < 2.5 * len(data)
+
+
 def test_files_hold_every_document_in_order(spark, codec):
     path = repair.write_ids(docs_of(spark, ODD), tokenizer_path(), partitions=3)
     got = sorted(repair.read_ids(spark, path).collect(), key=lambda r: r.start)
